@@ -13,7 +13,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -48,14 +48,14 @@ def fit_cost_model(
     return path
 
 
-def read_leaves(df_session, path: str) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+def read_leaves(spark: SparkSession, path: str) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """Leaves of a saved forest: (value, [(feature, low, high, share)]).
 
     The node table is bounded by trees times 2^depth, whatever the data size.
     """
-    stored = df_session.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*").selectExpr(
+    stored = spark.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*").selectExpr(
         "treeID", "id", "prediction", "double(rawCount) AS cover", "leftChild", "rightChild",
-        "split.featureIndex AS feature", "element_at(split.leftCategoriesOrThreshold, 1) AS threshold",
+        "split.featureIndex AS feature", "try_element_at(split.leftCategoriesOrThreshold, 1) AS threshold",
     ).toPandas()
     leaves = []
     trees = stored["treeID"].nunique()

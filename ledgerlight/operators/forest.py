@@ -51,8 +51,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
         if depth >= limit or len(rows) <= 1 or not len(open_features):
             nodes.append((node, -1, 0.0, -1, -1, depth + float(mean_path(len(rows)))))
             continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
+        f = int(open_features[rng.integers(len(open_features))])
+        cut = float(low[f] + rng.random() * (high[f] - low[f]))
+        cut = cut if cut < high[f] else float(low[f])  # neighbouring floats: both sides stay non-empty
         below = x[rows, f] <= cut
         nodes.append((node, f, cut, used, used + 1, 0.0))
         pending += [(used, rows[below], depth + 1), (used + 1, rows[~below], depth + 1)]

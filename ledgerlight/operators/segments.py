@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -34,27 +35,40 @@ def cap_outliers(
     )
 
 
+EMA_BLOCK = 32
+
+
+def _horner(factor: float):
+    return lambda acc, term: acc * F.lit(factor) + term
+
+
 def with_ema(df: DataFrame, spans: Sequence[int] = (7, 14), key: str = "segment_id", value: str = "cost_capped") -> DataFrame:
     """Exponential moving averages, seeded with the first value.
 
-    The recurrence is folded over the segment's ordered values: a segment has
-    one row per calendar day. Rows come back through ``posexplode``.
+    The recurrence is cut into blocks of rows. Inside a block it is a weighted
+    running sum; what earlier blocks add is the same recurrence over their end
+    values, of which only the last few still count in double precision. All
+    windows share the segment's partitioning, and no row list is ever built.
     """
-    others = [c for c in df.columns if c != key]
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", *[c for c in others if c != "date"]))).alias("_rows"))
-    folded = rows
+    w = W.partitionBy(key).orderBy("date")
+    i = F.col("_i")
+    place, block = i % EMA_BLOCK, F.floor(i / EMA_BLOCK).cast("int")
+    out = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", block)
+    inside = W.partitionBy(key, "_b").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     for span in spans:
         a = 2.0 / (span + 1)
-
-        def step(acc, row, a=a):
-            x = row[value].cast("double")
-            nxt = F.when(F.size(acc) == 0, x).otherwise(F.lit(a) * x + F.lit(1 - a) * F.try_element_at(acc, F.lit(-1)))
-            return F.concat(acc, F.array(nxt))
-
-        folded = folded.withColumn(f"_ema_{span}", F.aggregate("_rows", F.array().cast("array<double>"), step))
-    return folded.select(key, F.posexplode("_rows").alias("_i", "_row"), *[f"_ema_{s}" for s in spans]).select(
-        key, *[F.col("_row")[c].alias(c) for c in others], *[F.col(f"_ema_{s}")[F.col("_i")].alias(f"ema_{s}") for s in spans]
-    )
+        q = 1.0 - a
+        kept = math.ceil(math.log(1e-18) / math.log(q) / EMA_BLOCK) + 1
+        earlier = W.partitionBy(key).orderBy("_b").rangeBetween(-kept, -1)
+        seeded = F.when(i == 0, F.col(value)).otherwise(F.col(value) * F.lit(a))
+        local = F.sum(seeded * F.pow(F.lit(q), -place)).over(inside) * F.pow(F.lit(q), place)
+        out = out.withColumn("_local", local)
+        ends = F.collect_list(F.when(place == EMA_BLOCK - 1, F.col("_local"))).over(earlier)
+        carry = F.aggregate("_ends", F.lit(0.0), _horner(q ** EMA_BLOCK))
+        out = out.withColumn("_ends", ends).withColumn("_carry", carry)
+        out = out.withColumn(f"ema_{span}", F.col("_local") + F.pow(F.lit(q), place + 1) * F.col("_carry"))
+        out = out.drop("_local", "_ends", "_carry")
+    return out.drop("_i", "_b")
 
 
 def segment_features(segments: DataFrame, key: str = "segment_id", ema: bool = True) -> DataFrame:

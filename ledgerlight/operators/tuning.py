@@ -48,9 +48,16 @@ def weighted_ensemble(df: DataFrame, weights: dict[str, float] | DataFrame, key:
     return df.withColumn("fused_score", fuse([F.lit(float(weights[c])) for c in SCORES], names))
 
 
-def _passed(score: Column, thresholds: Column) -> Column:
-    """How many of the ascending thresholds the score exceeds."""
-    return F.size(F.filter(thresholds, lambda t: score > t))
+def _passed(score: str, thresholds: Sequence[float] | None = None) -> Column:
+    """How many of the ascending candidates the score exceeds.
+
+    Fixed candidates become a sum of comparisons, which stays in generated
+    code; candidates of the group come from its ``_grid`` column.
+    """
+    if thresholds is None:
+        return F.size(F.filter("_grid", lambda t: F.col(score) > t))
+    hits = [(F.col(score) > F.lit(float(t))).cast("int") for t in thresholds]
+    return sum(hits[1:], hits[0])
 
 
 def _swept(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,15 +100,21 @@ def threshold_sweep(
     y = F.col(truth) == 1
     if percentiles is not None:
         cuts = df.groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(p) for p in percentiles])).alias("_grid"))
-        rows = attach(df, cuts, keys)
+        rows = attach(df.select(*keys, truth, score), cuts, keys).withColumn("_level", _passed(score))
     else:
-        rows = df.withColumn("_grid", F.array(*[F.lit(t) for t in thresholds]))
-    counted = rows.groupBy(*keys, "_grid", _passed(F.col(score), F.col("_grid")).alias("_level")).agg(
-        F.count_if(y).alias("_pos"), F.count_if(~y).alias("_neg")
-    )
+        rows = df.select(*keys, truth, _passed(score, thresholds).alias("_level"))
+    counts = [F.count_if(y).alias("_pos"), F.count_if(~y).alias("_neg")]
+    if percentiles is not None:
+        counted = rows.groupBy(*keys, "_level").agg(*counts, F.first("_grid").alias("_grid"))
+    else:
+        counted = rows.groupBy(*keys, "_level").agg(*counts).withColumn("_grid", _literals(thresholds))
     return _swept(counted, keys)
 
 
+def _literals(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def best_threshold(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First candidate with the best F1; threshold 0 where nothing scores."""
     first = W.partitionBy(*keys).orderBy(F.col("f1").desc(), "threshold")
@@ -144,25 +157,22 @@ def weight_search(
     Each row is scored once per trial (a fixed number) and counted on the map
     side, so the shuffle carries segments x trials x levels rows.
     """
+    weights = [f"w_{c}" for c in SCORES]
     trials = list(trials or weight_trials())
     table = F.array(*[
-        F.struct(F.lit(i).alias("trial"), *[F.lit(float(w)).alias(f"w_{c}") for c, w in zip(SCORES, ws)])
-        for i, ws in trials
+        F.struct(F.lit(i).alias("trial"), *[F.lit(w / sum(ws)).alias(n) for n, w in zip(weights, ws)]) for i, ws in trials
     ])
     names = [f"{c}_n" for c in SCORES]
     rows = df.select(key, truth, *names, F.explode(table).alias("_t")).select(key, truth, *names, "_t.*")
-    fused = fuse([F.col(f"w_{c}") for c in SCORES], names)
+    parts = [F.col(w) * F.col(c) for w, c in zip(weights, names)]
     y = F.col(truth) == 1
-    levels = F.array(*[F.lit(float(t)) for t in grid])
-    weights = [f"w_{c}" for c in SCORES]
     counted = (
-        rows.withColumn("_level", _passed(fused, levels))
-        .groupBy(key, "trial", *weights, "_level")
+        rows.withColumn("_fused", sum(parts[1:], parts[0]))
+        .groupBy(key, "trial", *weights, _passed("_fused", grid).alias("_level"))
         .agg(F.count_if(y).alias("_pos"), F.count_if(~y).alias("_neg"))
-        .withColumn("_grid", levels)
+        .withColumn("_grid", _literals(grid))
     )
     swept = _swept(counted, [key, "trial", *weights])
     first = W.partitionBy(key).orderBy(F.col("f1").desc(), "trial", "threshold")
     best = swept.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
-    total = F.col(weights[0]) + F.col(weights[1]) + F.col(weights[2]) + F.col(weights[3])
-    return best.select(key, "trial", "threshold", "f1", *[(F.col(c) / total).alias(c) for c in weights])
+    return best.select(key, "trial", "threshold", "f1", *weights)
