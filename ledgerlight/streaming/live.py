@@ -94,13 +94,15 @@ def _features_of(costs: list[float]) -> list[float | None]:
     return [lag[1], lag[7], lag[30], float(week.mean()), sd7, float(month.mean()), std(month), change[1], change[7], gap]
 
 
-def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idle: str = "90 days") -> DataFrame:
+def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idle: str | None = None) -> DataFrame:
     """Features of arriving daily rows from the last 30 values of their series.
 
     ``days`` is a stream of closed days (``keys``, ``date``, ``total_cost``). A
     day at or before the newest one of its series is passed on with
-    ``is_late`` 1 and no features, so no row is lost. State that has been idle
-    for ``idle`` is dropped.
+    ``is_late`` 1 and no features, so no row is lost. A series' state is at most
+    30 numbers; with ``idle`` the state of a series silent for that long is
+    dropped. That timer keeps an ``availableNow`` query from ever stopping, so
+    set it on continuously running queries only.
     """
     kinds = {f.name: f.dataType for f in days.schema.fields}
     schema = T.StructType(
@@ -110,7 +112,8 @@ def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idl
         + [T.StructField("is_late", T.IntegerType())]
     )
     columns = [f.name for f in schema.fields]
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -128,14 +131,15 @@ def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idl
             out.append([*key, day, cost, *_features_of(costs), 0])
             last, costs = day, costs[-DEPTH:]
         state.update((last, costs))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=columns)
         yield frame.astype({c: float for c in (*FEATURE_COLUMNS, "total_cost")})
 
     return (
         days.select(*keys, "date", F.col("total_cost").cast("double").alias("total_cost"))
         .groupBy(*keys)
-        .applyInPandasWithState(advance, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(advance, schema, _STATE, "append", timeout)
     )
 
 
