@@ -93,7 +93,7 @@ def bills(spark, day):
         rows = []
         for i in range(first, last):
             for service in ("compute", "storage"):
-                v = 3000 + 100 * np.sin(i * 2 * np.pi / 7) + float(RNG.normal(0, 20))
+                v = float(3000 + 100 * np.sin(i * 2 * np.pi / 7) + np.random.default_rng(i).normal(0, 20))
                 rows.append((day(i), "AWS", service, "data", "prod", v * (5 if i in spike else 1), 1.0, "us"))
         return spark.createDataFrame(rows, BILL)
 
