@@ -109,14 +109,17 @@ def split_segments(spark: SparkSession, sf_dir: str, ema: bool = True) -> DataFr
 
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four scores SQL can express, in place of the fitted detectors' scores."""
+    """Four scores SQL can express, in place of the fitted detectors' scores.
+
+    Rounded, so that scores equal in exact arithmetic tie in every engine.
+    """
     df = split_segments(spark, sf_dir, ema=False)
     return df.select(
         "segment_id", "date", "is_anomaly", "is_train",
-        F.abs("zscore_base").alias("z_score"),
-        F.abs("pct_change_1d").alias("if_score"),
-        F.abs("pct_change_7d").alias("svm_score"),
-        F.col("ratio_to_rolling_max_7").alias("lstm_score"),
+        F.round(F.abs("zscore_base"), 9).alias("z_score"),
+        F.round(F.abs("pct_change_1d"), 9).alias("if_score"),
+        F.round(F.abs("pct_change_7d"), 9).alias("svm_score"),
+        F.round("ratio_to_rolling_max_7", 9).alias("lstm_score"),
     )
 
 

@@ -199,8 +199,8 @@ SELECT *, CASE WHEN rolling_max_7 > 0 THEN cost_capped / rolling_max_7 ELSE 0 EN
   CASE WHEN rolling_std_7 > 0 THEN (cost_capped - rolling_mean_7) / rolling_std_7 ELSE 0 END AS zscore_base,
   CASE WHEN rn <= floor(n * 0.8e0) THEN 1 ELSE 0 END AS is_train FROM segroll""")
 cte("scores", "segf", """
-SELECT segment_id, date, is_anomaly, is_train, abs(zscore_base) AS z_score, abs(pct_change_1d) AS if_score,
-  abs(pct_change_7d) AS svm_score, ratio_to_rolling_max_7 AS lstm_score FROM segf""")
+SELECT segment_id, date, is_anomaly, is_train, round(abs(zscore_base), 9) AS z_score, round(abs(pct_change_1d), 9) AS if_score,
+  round(abs(pct_change_7d), 9) AS svm_score, round(ratio_to_rolling_max_7, 9) AS lstm_score FROM segf""")
 SCORES = ("z_score", "if_score", "svm_score", "lstm_score")
 cte("ends", "scores", f"""
 SELECT segment_id, {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in SCORES)} FROM scores WHERE is_train = 1 GROUP BY 1""")
@@ -431,9 +431,9 @@ SELECT {KEY}, {', '.join(r(f"({c} - avg({c}) OVER (PARTITION BY service_category
     q["threshold_sweep"] = query("swept", f"SELECT segment_id, {rs('threshold', 6)}, tp, fp, fn, {r(F1)} AS f1 FROM swept")
     q["percentile_sweep"] = query("scores", f"""
 SELECT segment_id, {r('threshold')} AS threshold, tp, fp, fn, {r(F1)} AS f1 FROM
-(SELECT segment_id, threshold, count(*) FILTER (WHERE z_score > threshold AND is_anomaly = 1) AS tp, count(*) FILTER (WHERE z_score > threshold AND is_anomaly = 0) AS fp,
+(SELECT segment_id, k, threshold, count(*) FILTER (WHERE z_score > threshold AND is_anomaly = 1) AS tp, count(*) FILTER (WHERE z_score > threshold AND is_anomaly = 0) AS fp,
   count(*) FILTER (WHERE z_score <= threshold AND is_anomaly = 1) AS fn FROM
- (SELECT segment_id, unnest(quantile_cont(z_score, [{', '.join(repr(p) for p in DETECTOR_PERCENTILES)}])) AS threshold FROM scores WHERE is_train = 0 GROUP BY 1)
+ (SELECT segment_id, unnest(quantile_cont(z_score, [{', '.join(repr(p) for p in DETECTOR_PERCENTILES)}])) AS threshold, unnest(range({len(DETECTOR_PERCENTILES)})) AS k FROM scores WHERE is_train = 0 GROUP BY 1)
  JOIN (SELECT * FROM scores WHERE is_train = 0) USING (segment_id) GROUP BY ALL)""")
     trials = ", ".join("(" + ", ".join([str(i), *[num(w) for w in ws]]) + ")" for i, ws in weight_trials())
     q["weight_search"] = query("mm", f"""
