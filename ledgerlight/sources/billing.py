@@ -97,8 +97,10 @@ def _product() -> Column:
 def billing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order, customer, nation, region and part, as billing rows.
 
-    No join hints: small dimensions are broadcast by their file size, and
-    beyond the threshold the joins shuffle with skew handling by AQE.
+    Line items and orders grow together, so their join is pinned to a shuffle
+    (size estimates may otherwise broadcast the line items of a small export);
+    AQE splits its skewed keys. The dimensions carry no hints: they are
+    broadcast by their file size and shuffle beyond the threshold.
     """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     account = (
@@ -121,7 +123,7 @@ def billing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         t("lineitem")
-        .join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(order.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_shipdate").cast("date").alias("date"),
