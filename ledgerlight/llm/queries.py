@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import mixing
+from ledgerlight.llm import length_histogram, mixing, token_store
+from ledgerlight.session import stage_path
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram.histogram(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), stage_path(spark, "tokens")
+    token_store.write_store(docs, path, TOKENIZER, end_id=1)
+    return token_store.stored_documents(docs, path)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_token_store": op2_token_store,
     "op10_mix": op10_mix,
 }
 ORACLE: dict[str, str] = {
