@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlight.llm import length_histogram, mixing, token_store
+from ledgerlight.llm import length_histogram, mixing, suffix_decontam, token_store
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +28,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_documents(docs, path)
 
 
+def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
+    "op5_suffix_decontam": op5_suffix_decontam,
     "op10_mix": op10_mix,
 }
 ORACLE: dict[str, str] = {
