@@ -3,8 +3,8 @@
 ``Encoder`` gives exactly the ids of ``Tokenizer.encode(text,
 add_special_tokens=False)``. Where the tokenizer drops white space and never
 joins characters across it, a text is the concatenation of its words, so each
-distinct word is encoded once and remembered; the memory is emptied when it
-holds ``most`` words. Any other tokenizer encodes each text as a whole.
+distinct word is encoded once and remembered, by way of its pieces; a memory is
+emptied when it is full (``MOST_WORDS``, ``MOST_PIECES``). Any other tokenizer encodes each text as a whole.
 """
 
 from __future__ import annotations
@@ -17,26 +17,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 # The normalizer and the splitting pattern for which white space separates independent words.
 SEPARABLE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SEPARABLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
-PRINTABLE = re.compile(rb"[!-~]+")
-# A word that ends in ASCII marks behind a letter: the marks are pieces of their own.
-MARKS_BEHIND = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Words of printable ASCII and Latin letters: they are composed already, and lower-case one by one.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PART_BYTES = 1 << 21
+MOST_WORDS = 200_000
+MOST_PIECES = 600_000
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separable = separable(path) and not any(len(s.split()) != 1 for s in self.special)
-        self.most, self.words, self.pieces = most, {}, {}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.as_bytes = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.words, self.pieces = {}, {}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; null is empty."""
@@ -57,38 +60,29 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, part: list[list[bytes]]) -> list[bytes]:
-        for memory in (self.words, self.pieces):
-            if len(memory) > self.most:
+        for memory, most in ((self.words, MOST_WORDS), (self.pieces, MOST_PIECES)):
+            if len(memory) > most:
                 memory.clear()
         self._learn(set().union(*part) - self.words.keys())
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in part]
 
     def _learn(self, words: set[bytes]) -> None:
-        bodies: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        other = []
         for word in words:
-            if any(s in word for s in self.special):
-                bodies.setdefault(word, []).append((word, b""))
-            elif PRINTABLE.fullmatch(word):
-                self.words[word] = self._ascii(word)
+            text = word.decode()
+            if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
+                self.words[word] = b"".join(map(self._piece, PLAIN_PIECE.findall(text.lower())))
             else:
-                cut = MARKS_BEHIND.fullmatch(word)
-                body, tail = cut.groups() if cut else (word, b"")
-                bodies.setdefault(body, []).append((word, self._ascii(tail)))
-        new = [b for b in bodies if b not in self.pieces]
-        self.pieces.update(zip(new, self._whole([b.decode() for b in new]), strict=True))
-        for body, uses in bodies.items():
-            for word, tail in uses:
-                self.words[word] = self.pieces[body] + tail
-
-    def _ascii(self, word: bytes) -> bytes:
-        out = []
-        for piece in ASCII_PIECE.findall(word.decode().lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
-            out.append(ids)
-        return b"".join(out)
+                other.append(word)
+        self.words.update(zip(other, self._whole([w.decode() for w in other]), strict=True))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece.translate(self.as_bytes))
+            ids = self.pieces[piece] = np.array([t.id for t in found], self.dtype).tobytes()
+        return ids
 
 
 def separable(path: str) -> bool:
