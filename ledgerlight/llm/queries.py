@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import length_histogram, mixing, suffix_decontam, token_store
+from ledgerlight.llm import jaccard_join, length_histogram, mixing, suffix_decontam, token_store
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
     "op5_suffix_decontam": op5_suffix_decontam,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
 }
 ORACLE: dict[str, str] = {
