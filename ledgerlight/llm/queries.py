@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import jaccard_join, length_histogram, mixing, suffix_decontam, token_store
+from ledgerlight.llm import jaccard_join, length_histogram, mixing, pu_toxicity, suffix_decontam, token_store
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_documents(docs, path)
 
 
+def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -47,6 +51,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
+    "op3_pu_toxicity": op3_pu_toxicity,
     "op5_suffix_decontam": op5_suffix_decontam,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
