@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import jaccard_join, length_histogram, mixing, pu_toxicity, suffix_decontam, token_store
+from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, suffix_decontam, token_store
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,11 @@ def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_pu_toxicity": op3_pu_toxicity,
     "op5_suffix_decontam": op5_suffix_decontam,
+    "op7_decision_list": op7_decision_list,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
 }
