@@ -173,8 +173,8 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
     return docs.select("text").mapInArrow(scan, "block long, shingles binary, index binary, classes binary, sizes binary")
 
 
-def shared_entries(tiled: DataFrame) -> DataFrame:
-    """(shingle, class, n): the entries of columns that two or more classes share."""
+def shared_entries(tiled: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, class, n): the entries of columns that two or more classes of compatible sizes share."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         shingle, cls, n = [], [], []
@@ -183,19 +183,20 @@ def shared_entries(tiled: DataFrame) -> DataFrame:
             index = np.frombuffer(row["index"], np.uint16 if len(classes) <= 1 << 16 else np.uint32)
             shingle.append(np.frombuffer(row["shingles"], U64))
             cls.append(classes[index])
-            n.append(np.frombuffer(row["sizes"], np.uint32)[index])
+            n.append(np.frombuffer(row["sizes"], np.uint32)[index].astype(np.int64))
         shingle, cls, n = np.concatenate(shingle), np.concatenate(cls), np.concatenate(n)
-        by = np.lexsort((cls, shingle))
+        by = np.lexsort((cls, n, shingle))
         shingle, cls, n = shingle[by], cls[by], n[by]
         once = np.ones(len(by), bool)
         once[1:] = (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])
         shingle, cls, n = shingle[once], cls[once], n[once]
         if key[0].as_py() >= 0:
-            same = np.zeros(len(shingle) + 1, bool)
-            same[1:-1] = shingle[1:] == shingle[:-1]
-            shared = same[:-1] | same[1:]
+            # In order of size, an entry has a partner in its column if one of its neighbours is one.
+            fits = np.zeros(len(shingle) + 1, bool)
+            fits[1:-1] = (shingle[1:] == shingle[:-1]) & (n[:-1] * den >= n[1:] * num)
+            shared = fits[:-1] | fits[1:]
             shingle, cls, n = shingle[shared], cls[shared], n[shared]
-        return pa.table([pa.array(shingle.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "class", "n"])
+        return pa.table([pa.array(shingle.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n)], ["shingle", "class", "n"])
 
     return tiled.groupBy("block").applyInArrow(merge, "shingle long, class long, n long")
 
@@ -248,22 +249,20 @@ def components(links: DataFrame) -> DataFrame:
     first the greater ones, then the smaller, until nothing changes.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
-        small = small.select(F.explode(F.array("x", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = stage(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        mark = now
+        small = small.select("x", "m").unionByName(small.select(F.col("u").alias("x"), "m")).where("x <> m").distinct()
+        edges = stage(small.select(F.col("x").alias("u"), F.col("m").alias("v")), "stars")
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+        roles = roles.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        roles = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if roles.where("child > 1 OR (child > 0 AND parent > 0)").isEmpty():
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def common_shingles(profile: DataFrame) -> np.ndarray:
@@ -285,31 +284,30 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     if not entries:
         return None
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
-    q = stage(shared_entries(tiles(docs, common_shingles(profile), n_blocks, width, num, den)), "entries")
-    # Sizes that may link are less than den/num apart: own or next size class.
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
-    entries_by_size = stage(q.withColumn("own", step.cast("int")).withColumn("k", F.explode(F.array("own", F.col("own") - 1))), "entries-by-size")
+    q = stage(shared_entries(tiles(docs, common_shingles(profile), n_blocks, width, num, den), num, den), "entries")
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     links = whole = rows = None
     before, turn = float("inf"), 0
-    groups = entries_by_size.withColumn("component", F.col("class"))
+    open_ = q.withColumn("component", F.col("class"))
     while True:
-        counts = groups.groupBy("shingle", "k", "component").agg(F.count("*").alias("m"))
-        counts = counts.groupBy("shingle", "k").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
-        groups = stage(groups.join(counts.where("parts > 1").select("shingle", "k"), ["shingle", "k"], "left_semi"), "open-groups")
-        size, across = groups.count(), counts.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
+        if turn == 0:
+            counts = q.groupBy("shingle").agg(F.count("*").alias("m")).withColumn("within", F.col("m"))
+        else:
+            counts = open_.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+            counts = counts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
+            counts = stage(counts.where("parts > 1"), "open-columns")
+            open_ = stage(open_.join(counts.select("shingle"), "shingle", "left_semi"), "open-entries")
+        size, across = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()
         if not size:
             break
         # Pivots go on while they settle columns; what they leave is multiplied out.
         last = across <= PRODUCTS_PER_ENTRY * size or 2 * across > before
         if last:
-            pairs = across_components(groups, fits, num, den)
+            pairs = across_components(open_, fits, num, den)
         else:
-            pivots = groups.groupBy("shingle", "k").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("by"), "class", "n", "component")).alias("p"))
-            pairs = groups.join(pivots, ["shingle", "k"]).where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
-            pairs = within_bound(pairs.select(F.greatest("class", "p.class").alias("a"), F.least("class", "p.class").alias("b")).distinct(), q, num, den)
+            pairs = within_bound(with_pivots(open_, q, turn, fits), q, num, den)
         pairs = stage(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if rows is not None:
             asked = asked.join(rows.select("class"), "class", "left_anti")
         more = stage(class_rows(docs, asked.join(classes, "class").select("key"), width), "class-rows")
@@ -319,18 +317,29 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             whole = stage(components(links), "components")
-            groups = groups.drop("component").join(whole.select(F.col("node").alias("class"), "component"), "class", "left")
-            groups = groups.withColumn("component", F.coalesce("component", "class"))
+            open_ = open_.drop("component").join(whole.select(F.col("node").alias("class"), "component"), "class", "left")
+            open_ = open_.withColumn("component", F.coalesce("component", "class"))
         if last:
             break
     return None if links is None else whole.select(F.col("node").alias("class"), "component")
 
 
-def across_components(groups: DataFrame, fits, num: int, den: int) -> DataFrame:
+def with_pivots(entries: DataFrame, q: DataFrame, turn: int, fits) -> DataFrame:
+    """Pairs of each row with its columns' pivots: at first the row of the most shared entries, later any."""
+    if turn == 0:
+        ranked = entries.join(q.groupBy("class").agg((-F.count("*")).alias("by")), "class")
+    else:
+        ranked = entries.withColumn("by", F.xxhash64("class", F.lit(turn)))
+    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("by", "class", "n", "component")).alias("p"))
+    pairs = entries.join(pivots, "shingle").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
+    return pairs.select(F.greatest("class", "p.class").alias("a"), F.least("class", "p.class").alias("b")).distinct()
+
+
+def across_components(entries: DataFrame, fits, num: int, den: int) -> DataFrame:
     """Pairs of classes in different components whose overlap in the dealt columns reaches the size-derived bound."""
-    side = lambda s: groups.select("shingle", "k", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "own", "component")])
-    both = side("a").join(side("b"), ["shingle", "k"])
-    both = both.where((F.col("class_a") > F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & (F.col("k") == F.least("own_a", "own_b")))
+    side = lambda s: entries.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "component")])
+    both = side("a").join(side("b"), "shingle")
+    both = both.where((F.col("class_a") > F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")))
     counted = both.groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
     return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
 
