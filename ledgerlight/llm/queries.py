@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, suffix_decontam, token_store
+from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, skip_crf, suffix_decontam, token_store
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,11 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op8_skip_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = skip_crf.detect(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[f"n_{k}" for k in skip_crf.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pu_toxicity": op3_pu_toxicity,
     "op5_suffix_decontam": op5_suffix_decontam,
     "op7_decision_list": op7_decision_list,
+    "op8_skip_crf": op8_skip_crf,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
 }
