@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, skip_crf, suffix_decontam, token_store
+from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, skip_crf, snapshots, suffix_decontam, token_store, warc
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -40,6 +44,10 @@ def op5_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows
@@ -62,12 +70,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
     "op3_pu_toxicity": op3_pu_toxicity,
+    "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_suffix_decontam": op5_suffix_decontam,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_decision_list": op7_decision_list,
     "op8_skip_crf": op8_skip_crf,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
 }
 ORACLE: dict[str, str] = {
+    "op4_snapshot_collapse": snapshots.ORACLE_SNAPSHOTS,
+    "op6_warc_derivatives": warc.oracle_sql(),
     "op10_mix": mixing.ORACLE_MIX,
 }
