@@ -1,18 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Toxic documents go; of each group of near duplicates one document stays;
+documents with benchmark passages go; what is left is mixed by source, copies
+and all; the mix is encoded, and the last stage returns one row per document
+of the store. Each stage reads what its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.session import stage
+from ledgerlight.llm import jaccard_join, mixing, pu_toxicity, suffix_decontam, token_store
+from ledgerlight.llm.queries import TOKENIZER, table
+from ledgerlight.session import stage, stage_path
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pu_toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "tokens")
+    token_store.write_store(docs, path, TOKENIZER, end_id=1)
+    return token_store.stored_documents(docs, path).drop("by_key")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mix", mix),
+    ("token_ids", token_ids),
+]
 # Scores of a trained model decide the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
     return docs

@@ -358,15 +358,33 @@ def least_shared(num: int, den: int):
 
 
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class (of equal sets), component_id (least doc_id reachable by links)."""
+    """One row per document: doc_id, key, n_shingles, class (of equal sets), component_id (least doc_id reachable by links)."""
     profile = stage(profiles(docs, width), "profiles")
-    each = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class")
+    each = profile.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "class")
     parts = class_components(docs, profile, width, num, den)
-    classes = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key"))
     if parts is None:
-        named = classes.select("class", F.col("least").alias("component_id"))
+        named = classes.select("class", F.col("least").alias("component_id"), "least_key")
     else:
         classes = classes.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = classes.join(ids, "component").select("class", "component_id")
-    return each.join(named, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"))
+        ids = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.min("least_key").alias("least_key"))
+        named = classes.select("class", "component").join(ids, "component").select("class", "component_id", "least_key")
+    alone = F.col("class").isNull()
+    return each.join(named, "class", "left").select(
+        "doc_id", "key", "n_shingles", "class", F.coalesce("component_id", F.when(alone, F.col("doc_id"))).alias("component_id"),
+        F.when(alone, F.col("key")).otherwise(F.coalesce("component_id", "least_key")).alias("kept_key"),
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The documents of the least doc_id of each component, as they came; of repeated ones, one.
+
+    A component without any doc_id keeps the document of the least text hash.
+    """
+    rows = stage(join(docs, width, num, den).select("key", "kept_key"), "joined")
+    dropped = stage(rows.where("key <> kept_key").select("key").distinct(), "dropped")
+    kept = docs.withColumn("jaccard_key", row_key())
+    kept = kept.join(dropped.withColumnRenamed("key", "jaccard_key"), "jaccard_key", "left_anti")
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["jaccard_key"])
+    return kept.select(docs.columns)

@@ -9,14 +9,14 @@ is taken in part.
 How it scales: texts are read once, into narrow rows that are staged. The
 order within a source is two-level: equal slices of the key's range are summed
 by partial aggregation, whole slices are decided from those sums, and only the
-one slice a budget ends in is sorted. A source with a third of all documents
+one slice a budget ends in is sorted. What is joined back has a row per source. A source with a third of all documents
 so meets neither one task nor one sort.
 
 Cases: a null text has size 0 and takes nothing; a null source is a source of
 its own, last in order; a null or repeated doc_id is kept row by row (repeated
 rows share a key and are taken one after the other, in order of size); a
 source without words has target 0; an empty table gives an empty result; extra
-columns are ignored.
+columns pass through ``mixed``; names that begin with ``mix_`` are taken.
 """
 
 from __future__ import annotations
@@ -78,6 +78,41 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, e
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def keyed(docs: DataFrame, seed: str, weight: Column | None) -> DataFrame:
+    """The rows with mix_size, mix_key and mix_slice (an equal slice of the key's range)."""
+    text = F.col("text")
+    rows = docs.withColumn("mix_size", word_count(text))
+    rate = quality_weight(text) if weight is None else weight
+    rows = rows.withColumn("mix_key", -F.log(uniform(seed, F.col("doc_id"), F.col("mix_size"))) / rate)
+    return rows.withColumn("mix_slice", F.floor(SLICES * (1 - F.exp(-F.col("mix_key")))).cast("int"))
+
+
+def budgets(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int) -> DataFrame:
+    """One row per source: its size and target, its whole epochs, the slice the rest ends in and the words ahead of it."""
+    cells = stage(rows.groupBy("source", "mix_slice").agg(F.sum("mix_size").alias("cell")), "mix-cells")
+    targets = source_targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, share, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = stage(targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - whole * F.col("source_size")).cast("long")), "mix-targets")
+    up_to = Window.partitionBy("source").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("ahead", F.sum("cell").over(up_to) - F.col("cell"))
+    over = cells.join(targets, cells["source"].eqNullSafe(targets["source"])).where(F.col("ahead") + F.col("cell") > F.col("rest"))
+    last = over.groupBy(cells["source"].alias("of")).agg(F.min(F.struct("mix_slice", "ahead")).alias("last"))
+    rows = targets.join(last, targets["source"].eqNullSafe(F.col("of")), "left")
+    return stage(rows.select("source", "source_size", "target", "whole", "rest", F.col("last.mix_slice").alias("last_slice"), F.col("last.ahead").alias("ahead")), "mix-budgets")
+
+
+def decided(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """The rows with mix_whole (complete epochs) and mix_part (words taken once more)."""
+    state = budget.select(F.col("source").alias("mix_source"), *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "whole", "rest", "last_slice", "ahead")])
+    joined = rows.join(state, rows["source"].eqNullSafe(state["mix_source"]))
+    ends_here = F.coalesce(F.col("mix_slice") == F.col("mix_last_slice"), F.lit(False))
+    beyond = F.coalesce(F.col("mix_slice") > F.col("mix_last_slice"), F.lit(False))
+    sure = joined.where(~ends_here).withColumn("mix_part", F.when(beyond, F.lit(0)).otherwise(F.col("mix_size")).cast("long"))
+    by_key = Window.partitionBy("mix_source", "mix_slice").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("mix_rest") - F.col("mix_ahead") - F.sum("mix_size").over(by_key) + F.col("mix_size")
+    return sure.unionByName(joined.where(ends_here).withColumn("mix_part", F.least(F.col("mix_size"), F.greatest(F.lit(0), left)).cast("long")))
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2,
     seed: str = "mix", weight: Column | None = None,
@@ -88,37 +123,29 @@ def mix(
     included; ``target`` is its source's. ``weight`` is the quality weight of
     a document (by default from its symbols).
     """
-    text = F.col("text")
-    rows = stage(
-        docs.select("doc_id", "source", word_count(text).alias("size"), (quality_weight(text) if weight is None else weight).alias("weight"))
-        .withColumn("key", -F.log(uniform(seed, F.col("doc_id"), F.col("size"))) / F.col("weight"))
-        .withColumn("slice", F.floor(SLICES * (1 - F.exp(-F.col("key")))).cast("int"))
-        .drop("weight"),
-        "mix-rows",
-    )
-    cells = stage(rows.groupBy("source", "slice").agg(F.sum("size").alias("cell_size")), "mix-cells")
-    targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - whole * F.col("source_size")).cast("long"))
-    up_to = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("ahead", F.sum("cell_size").over(up_to) - F.col("cell_size"))
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    state = stage(
-        cells.join(targets, same(cells, targets, "source"))
-        .select(cells["source"], "slice", "cell_size", "ahead", "source_size", "target", "whole", "rest"),
-        "mix-state",
-    )
-    joined = rows.join(state, [*same(rows, state, "source"), rows["slice"] == state["slice"]]).select(rows["*"], *[state[c] for c in state.columns[2:]])
-    ends_here = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("cell_size") > F.col("rest"))
-    decided = joined.where(~ends_here).withColumn("part", F.when(F.col("ahead") < F.col("rest"), F.col("size")).otherwise(F.lit(0)))
-    by_key = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = joined.where(ends_here).withColumn("left", F.col("rest") - F.col("ahead") - F.sum("size").over(by_key) + F.col("size"))
-    split = split.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left")))).drop("left")
-    return decided.unionByName(split).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")
+    rows = stage(keyed(docs, seed, weight).select("doc_id", "source", "mix_size", "mix_key", "mix_slice"), "mix-rows")
+    return decided(rows, budgets(rows, weights, share, epochs)).select(
+        "doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        (F.col("mix_whole") * F.col("mix_size") + F.col("mix_part")).alias("taken"),
     )
 
 
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2,
+    seed: str = "mix", weight: Column | None = None,
+) -> DataFrame:
+    """The mix itself: each document once per epoch, with its columns; one that is taken in part ends after its last word taken."""
+    rows = keyed(docs, seed, weight)
+    rows = decided(rows, budgets(rows.select("source", "mix_slice", "mix_size"), weights, share, epochs))
+    copies = F.col("mix_whole") + F.when(F.col("mix_part") > 0, 1).otherwise(0)
+    rows = rows.where(copies > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut = (F.col("mix_copy") > F.col("mix_whole")) & (F.col("mix_part") < F.col("mix_size"))
+    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("mix_part"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word, exactly as it stands."""
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
