@@ -151,7 +151,7 @@ class Graph:
                 seen[key] = node
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        features = np.array(self.features, np.int64).reshape(len(self.row), -1)
+        features = np.array(self.features, np.int64) if self.row else np.zeros((0, 1), np.int64)
         edges = np.array(self.edges, np.int64).reshape(-1, 3)
         return features, edges, np.array(self.label, np.int64)
 
