@@ -43,6 +43,12 @@ def clean_money(col: str) -> Column:
     return F.greatest(F.coalesce(F.col(col).try_cast(MONEY), zero), zero)
 
 
+def out_of_range(col: str) -> Column:
+    """A number that money cannot hold: too large, or infinite."""
+    number = F.col(col).try_cast("double")
+    return flag(number.isNotNull() & ~F.isnan(number) & F.col(col).try_cast(MONEY).isNull()) == 1
+
+
 def calendar_columns(col: str = "date") -> dict[str, Column]:
     day = F.col(col)
     monday_zero = F.weekday(day)

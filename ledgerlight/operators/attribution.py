@@ -148,22 +148,26 @@ def shapley_rows(
 
 def explain_services(
     scored: DataFrame,
-    services: Sequence[str],
-    top: int = 10,
+    services: Sequence[str] | None = None,
+    top: int | None = None,
     trees: int = 100,
     depth: int = 5,
     save_under: str | None = None,
 ) -> DataFrame:
-    """Contributions for the leading anomalies of each service.
+    """Contributions for the anomalies of each service: all, or the ``top`` with most at risk.
 
-    ``services`` is the closed list of categories. Each model is a distributed
-    fit over that service's rows; the loop is over models, not over rows.
+    ``services`` may narrow the categories; by default they are those of the
+    rows. A category without rows has no model and no contributions. Each model
+    is a distributed fit over that service's rows; the loop is over the billing
+    categories, a catalogue of a few names, not over rows.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
 
     spark = scored.sparkSession
+    present = {r[0] for r in scored.select("service_category").where("service_category IS NOT NULL").distinct().collect()}
+    services = sorted(present if services is None else present.intersection(services))
     root = save_under or stage_path(spark, "cost-models")
 
     @inheritable_thread_target(spark)
@@ -173,8 +177,8 @@ def explain_services(
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         models = dict(zip(services, pool.map(one, services)))
-    leading = first_anomalies(scored, top)
-    out = None
+    leading = scored.where(F.col("final_anomaly") == 1) if top is None else first_anomalies(scored, top)
+    out = None if services else shapley_rows(leading.limit(0), [])
     for service in services:
         part = shapley_rows(leading.where(F.col("service_category") == service), models[service])
         out = part if out is None else out.unionByName(part)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import calendar_columns, clean_money, parse_date
+from ..functions.columns import calendar_columns, clean_money, out_of_range, parse_date
+from ..schemas import MALFORMED
 
 # Provider product name to service category.
 TAXONOMY = {
@@ -53,6 +54,23 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("date", parse_date("date") if kind == "string" else F.col("date").cast("date"))
 
 
+def reject_reason(df: DataFrame) -> Column:
+    """Why a raw row cannot be used, NULL if it can; ``df`` has its raw columns."""
+    text = dict(df.dtypes)["date"] == "string"
+    no_day = (parse_date("date") if text else F.col("date").cast("date")).isNull()
+    reason = F.when(no_day, "date is unreadable").when(out_of_range("cost_usd"), "cost is out of range")
+    if MALFORMED in df.columns:
+        reason = F.when(F.col(MALFORMED).isNotNull(), "line is malformed").otherwise(reason)
+    return reason
+
+
+def rejected(df: DataFrame) -> DataFrame:
+    """(reason, stage, row): the raw rows that ``normalize`` leaves out."""
+    columns = [F.col(c) for c in df.columns]
+    rows = df.select(reject_reason(df).alias("reason"), F.lit("input").alias("stage"), F.to_json(F.struct(*columns)).alias("row"))
+    return rows.where(F.col("reason").isNotNull())
+
+
 def rejected_dates(df: DataFrame) -> DataFrame:
     """Rows whose date cannot be read; they are reported, not guessed."""
     return df.where(F.col("date").isNull() | parse_date("date").isNull())
@@ -68,7 +86,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 def normalize(df: DataFrame) -> DataFrame:
     """Category, day, clean money and keys, calendar columns. One narrow pass."""
-    cleaned = clean(with_day(with_category(df))).where(F.col("date").isNotNull())
+    usable = df.where(reject_reason(df).isNull()).drop(MALFORMED)
+    cleaned = clean(with_day(with_category(usable)))
     calendar = calendar_columns()
     calendar.pop("is_month_end")
     return cleaned.withColumns(calendar)

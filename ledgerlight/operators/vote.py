@@ -64,7 +64,7 @@ def correlated_spikes(
     )
 
 
-def correlated_states(spikes: DataFrame, source_rows: DataFrame | None = None, least_rows: int = 10) -> DataFrame:
+def correlated_states(spikes: DataFrame, source_rows: DataFrame | None = None, least_rows: int = 0) -> DataFrame:
     """Named state of the correlated dates; nothing when the source is tiny."""
     out = spikes.where(F.col("correlated_anomaly") == 1).select(
         F.date_format("date", "yyyy-MM-dd").alias("day"),

@@ -14,6 +14,7 @@ from ..operators import (
     attribution, decisions, evaluation, features, forecast, forest, gesd, kernel, normalize, reconstruct, reports,
     rollup, scenario, segments, tuning, vote, zscore,
 )
+from ..schemas import MALFORMED
 from ..session import stage, stage_path
 from ..sources import billing, store
 from ..streaming import live
@@ -51,7 +52,7 @@ def scan_billing(spark, sf_dir):
     rows = billing.billing_view(spark, sf_dir).withColumnRenamed("service_name", "service")
     billing.append_batch(rows.withColumn("is_anomaly", F.lit(0)), path, "csv")
     back = billing.read_billing(spark, path)
-    return normalize.with_day(back).drop("is_anomaly")
+    return normalize.with_day(back).drop("is_anomaly", MALFORMED)
 
 
 SNAPSHOT = ["date", "provider", "service_name", "team", "environment", "resource_id", "cost_usd", "usage_quantity", "region"]

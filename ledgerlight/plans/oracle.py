@@ -369,8 +369,8 @@ SELECT DISTINCT severity_label, date, {rs('total_cost', 2)} FROM decided a JOIN
 SELECT {KEY}, zscore_flag, if_flag, lstm_flag, CAST(vote_count AS INTEGER) AS vote_count, final_anomaly, CAST(severity_score AS DOUBLE) AS severity_score, severity_label FROM voted""")
     q["service_costs"] = query("decided", f"""
 SELECT service_category, {r('sum(cost_usd)', 2)} AS total_cost, {r('coalesce(sum(cost_usd) FILTER (WHERE is_anomaly = 1), 0)', 2)} AS anomaly_cost FROM decided GROUP BY 1""")
-    q["anomaly_semi_features"] = query("voted feats", f"""
-SELECT {KEY}, {rs('total_cost zscore')} FROM feats WHERE zscore > 1.5 AND (service_category, date, provider, team, environment) IN (SELECT (service_category, date, provider, team, environment) FROM complete)""")
+    q["anomaly_semi_features"] = query("feats complete", f"""
+SELECT {KEY}, {rs('total_cost zscore')} FROM feats SEMI JOIN complete USING (service_category, date, provider, team, environment) WHERE zscore > 1.5""")
     pairs = (("cost_lag_1", "Previous day cost pattern"), ("cost_lag_7", "Weekly cost pattern deviation"), ("rolling_mean_7", "Weekly average baseline shift"),
              ("rolling_std_7", "Cost volatility increase"), ("rolling_mean_30", "rolling_mean_30"))
     q["root_cause_topk"] = query("complete", f"""

@@ -20,8 +20,12 @@ def prepare(raw: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]
     billing rows are read a single time.
     """
     daily = stage(rollup.daily_rollup(normalize.normalize(raw)), "daily")
+    return daily, complete_features(daily, closed)
+
+
+def complete_features(daily: DataFrame, closed: bool = False) -> DataFrame:
     rows = stage(features.engineer_features(daily, closed=closed), "features")
-    return daily, features.min_history(rows, MIN_ROWS, closed=closed)
+    return features.min_history(rows, MIN_ROWS, closed=closed)
 
 
 def judge(rows: DataFrame, closed: bool = False, sequence: str = "series", contamination: float = 0.05) -> DataFrame:
@@ -39,10 +43,16 @@ def judge(rows: DataFrame, closed: bool = False, sequence: str = "series", conta
     return vote.vote(scored)
 
 
-def decide(voted: DataFrame, policy=decisions.BATCH_POLICY, closed: bool = False, top: int = 50) -> DataFrame:
-    """Impact, priority and texts under the anomaly log's column names."""
-    rows = stage(decisions.priority(decisions.impact(voted), policy), "decided")
-    rich = decisions.enrich_top_impact(rows, top, closed=closed)
+def decide(voted: DataFrame, policy=decisions.BATCH_POLICY, closed: bool = False, top: int | None = None) -> DataFrame:
+    """Impact, priority and texts under the anomaly log's column names.
+
+    All flagged rows get their texts; ``top`` leaves them to so many of each service.
+    """
+    rows = decisions.priority(decisions.impact(voted), policy)
+    if top is None:
+        rich = decisions.enrich(rows, F.col("final_anomaly") == 1)
+    else:
+        rich = decisions.enrich_top_impact(stage(rows, "decided"), top, closed=closed)
     return rich.withColumns({"cost_usd": F.col("total_cost"), "is_anomaly": F.col("final_anomaly")})
 
 
@@ -63,7 +73,7 @@ def run_batch(
     root: str,
     batch_id: str = "batch",
     budget: float = forecast.MONTHLY_BUDGET,
-    closed: bool = True,
+    closed: bool = False,
     sequence: str = "series",
     policy=decisions.BATCH_POLICY,
     boost_rounds: int = 200,
@@ -79,23 +89,23 @@ def run_batch(
         store.clear_all()
     daily, rows = prepare(raw, closed)
     log = stage(decide(judge(rows, closed, sequence), policy, closed), "log")
-    store.insert_anomalies(log, batch_id)
+    rejects = [normalize.rejected(raw), store.insert_anomalies(log, batch_id)]
 
     split = stage(features.last_rows_split(rows, MIN_ROWS, SERIES_KEYS), "boost")
     held = forecast.boosted_predictions(split, max_iter=boost_rounds)
     quality = evaluation.quality(log, ["service_category"], "zscore_flag", "final_anomaly")
     mape = evaluation.mape_fraction(held, ["service_category"], "total_cost", "predicted")
-    store.insert_metrics(evaluation.metric_rows(quality, mape), batch_id)
+    rejects.append(store.insert_metrics(evaluation.metric_rows(quality, mape), batch_id))
 
     totals = stage(rollup.totals(daily), "service-totals")
     ahead = stage(forecast.seasonal_forecast(totals, closed=closed), "forecast")
-    store.insert_forecasts(forecast_contract(ahead), batch_id)
-    store.insert(forecast.budget_breach(ahead, budget), "budget_breaches", batch_id)
-    store.insert(vote.correlated_spikes(daily), "correlated_anomalies", batch_id)
+    rejects.append(store.insert_forecasts(forecast_contract(ahead), batch_id))
+    rejects.append(store.insert(forecast.budget_breach(ahead, budget), "budget_breaches", batch_id))
+    rejects.append(store.insert(vote.correlated_spikes(daily), "correlated_anomalies", batch_id))
 
     if explain:
-        services = [r[0] for r in rows.select("service_category").distinct().collect()] if not closed else list(normalize.CATEGORIES)
-        shap = attribution.explain_services(log, services)
+        shap = attribution.explain_services(log)
         causes = decisions.causes_per_anomaly(decisions.rank_causes(shap, ROW_KEY), ROW_KEY)
-        store.insert(causes, "anomaly_causes", batch_id)
+        rejects.append(store.insert(causes, "anomaly_causes", batch_id))
+    store.insert_rejects(rejects, batch_id)
     return store

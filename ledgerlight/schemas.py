@@ -85,6 +85,16 @@ MODEL_METRICS = _fields([
     ("created_at", T.TimestampType(), True),
 ])
 
+# Column that holds a CSV line which did not fit its schema.
+MALFORMED = "_malformed"
+
+# Rows that no result was made of: why, where they were turned away, and the row as JSON.
+REJECTS = _fields([
+    ("reason", _S, False),
+    ("stage", _S, False),
+    ("row", _S, True),
+])
+
 # Wider tables the reference computes but never stores.
 BREACH_RESULTS = _fields([
     ("service_category", _S, False),
@@ -118,6 +128,7 @@ TABLES = {
     "budget_breaches": BREACH_RESULTS,
     "correlated_anomalies": CORRELATED_RESULTS,
     "anomaly_causes": ANOMALY_CAUSES,
+    "rejects": REJECTS,
 }
 
 # Lengths the row contract may enforce on text columns.

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import MONEY
-from ..schemas import BILLING
+from ..schemas import BILLING, BILLING_BULK, BILLING_EXPORT, MALFORMED
 
 
-def read_billing(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = BILLING) -> DataFrame:
-    """Billing rows with a fixed schema; nothing is inferred from the data."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+def csv_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Schema of a CSV export by the names in its header, in any order; columns of no known layout are text."""
+    kinds = {f.name: f for layout in (BILLING_BULK, BILLING_EXPORT, BILLING) for f in layout.fields}
+    names = spark.read.option("header", True).csv(path).columns
+    return T.StructType([*(kinds.get(n, T.StructField(n, T.StringType())) for n in names), T.StructField(MALFORMED, T.StringType())])
+
+
+def read_billing(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
+    """Billing rows; types come from the known layouts, nothing is inferred from the data.
+
+    CSV columns are taken by name: a file whose header differs from the others'
+    is an error, and a line that does not fit is kept whole in ``MALFORMED``.
+    """
+    if fmt != "csv":
+        return spark.read.schema(schema or BILLING).format(fmt).load(path)
+    reader = spark.read.schema(schema or csv_schema(spark, path)).option("header", True).option("enforceSchema", False)
+    return reader.option("columnNameOfCorruptRecord", MALFORMED).csv(path)
 
 
 def trailing_snapshot(df: DataFrame, n: int, order: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ LAYOUT = {
     "budget_breaches": None,
     "correlated_anomalies": None,
     "anomaly_causes": "service_category",
+    "rejects": None,
 }
 # Columns that identify a row of each table.
 IDENTITY = {
@@ -96,6 +97,8 @@ class ResultStore:
     def _write(self, df: DataFrame, table: str, mode: str) -> None:
         by = LAYOUT[table]
         folders = ["batch_id", *([by] if by else [])]
+        # One file per folder, or several where a folder is large.
+        df = df.hint("rebalance", *folders)
         if "date" in df.columns:
             df = df.sortWithinPartitions(*folders, "date")
         (
@@ -103,6 +106,15 @@ class ResultStore:
             .partitionBy(*folders).parquet(self.path(table))
         )
 
+    def insert_rejects(self, parts: Sequence[DataFrame], batch_id: str) -> None:
+        """Store what was turned away: input rows as they are, contract failures with their reasons."""
+        rows = None
+        for part in parts:
+            if "reasons" in part.columns:
+                part = part.select(F.array_join("reasons", ", ").alias("reason"), F.lit("contract").alias("stage"), F.to_json(F.struct("*")).alias("row"))
+            rows = part if rows is None else rows.unionByName(part)
+        self.insert(rows, "rejects", batch_id)
+
     def insert(self, df: DataFrame, table: str, batch_id: str) -> DataFrame:
         """Store one batch; returns the rows the contract rejected."""
         valid, rejected = validate_contract(to_contract(df, table), TABLES[table])
@@ -126,9 +138,12 @@ class ResultStore:
         relaxed = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
         return self.spark.read.schema(relaxed).parquet(self.path(table))
 
-    def read_current(self, table: str) -> DataFrame:
-        """One row per identity: a day judged by several batches keeps the newest verdict."""
-        df = self.read(table)
+    def read_current(self, table: str, service: str | None = None, provider: str | None = None) -> DataFrame:
+        """One row per identity: a day judged by several batches keeps the newest verdict.
+
+        The filters are on parts of the identity, so they may come first and prune folders.
+        """
+        df = of(self.read(table), service, provider)
         identity = ["id"] if "id" in df.columns else list(IDENTITY[table])
         newest = W.partitionBy(*identity).orderBy(F.col("batch_id").desc())
         return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1).drop("_rn")
@@ -142,7 +157,7 @@ class ResultStore:
             empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(self.path(table))
 
     def fetch_anomalies(self, service: str | None = None, provider: str | None = None, limit: int = 1000) -> DataFrame:
-        return fetch(self.read("anomaly_logs"), service, provider, limit)
+        return fetch(self.read_current("anomaly_logs", service, provider), limit=limit)
 
     def fetch_forecasts(self, service: str | None = None, provider: str | None = None, limit: int = 1000) -> DataFrame:
         return fetch(self.read("forecast_results"), service, provider, limit)
@@ -151,6 +166,14 @@ class ResultStore:
         return latest_metrics(self.read("model_metrics"), model_name)
 
 
+def of(df: DataFrame, service: str | None, provider: str | None) -> DataFrame:
+    if service:
+        df = df.where(F.col("service_category") == service)
+    if provider:
+        df = df.where(F.col("provider") == provider)
+    return df
+
+
 def fetch(
     df: DataFrame,
     service: str | None = None,
@@ -159,11 +182,7 @@ def fetch(
     ties: Sequence[str] = ("provider", "service_category", "team", "id"),
 ) -> DataFrame:
     """Newest rows first; filters only where an argument is given."""
-    if service:
-        df = df.where(F.col("service_category") == service)
-    if provider:
-        df = df.where(F.col("provider") == provider)
-    return df.orderBy(F.col("date").desc(), *[c for c in ties if c in df.columns]).limit(limit)
+    return of(df, service, provider).orderBy(F.col("date").desc(), *[c for c in ties if c in df.columns]).limit(limit)
 
 
 def latest_metrics(df: DataFrame, model_name: str | None = None, tie: str = "id") -> DataFrame:

@@ -18,10 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import decisions, normalize
+from ..operators import decisions, forecast, normalize, rollup
+from ..operators.rollup import DAILY_KEYS
 from ..plans import pipeline
 from ..schemas import SERIES_KEYS
-from ..session import stage_path
+from ..session import stage, stage_path
 from ..sources.billing import usage_events
 from ..sources.store import ResultStore
 
@@ -34,7 +35,8 @@ def arriving_rows(
 ) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # A header that differs from the schema is an error, not a wrong reading.
+        reader = reader.option("header", True).option("enforceSchema", False)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
@@ -146,42 +148,58 @@ def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idl
 # --- the live run --------------------------------------------------------------------
 
 
-def live_batch(spark: SparkSession, bronze: str, root: str, history_days: int = 120, closed: bool = True):
+def live_batch(spark: SparkSession, bronze: str, root: str, closed: bool = False):
     """The ``foreachBatch`` step of the live run.
 
-    The batch's rows go to the bronze table under their batch id. The services
-    they touch are judged again over the trailing ``history_days``, and the
-    flagged rows on the batch's own days are stored under the same batch id.
+    A batch's rows go to the bronze table and their daily sums to a rollup
+    table, both under the batch id, so a replay replaces them. The services the
+    batch touches are judged again over their whole history, which is read from
+    the daily sums (one row per series, day and batch), never from raw rows.
+    All verdicts of the days a late row can change are stored, flagged or not:
+    the batch's own days and the ``DEPTH`` that follow. A day that is no longer
+    anomalous so replaces its earlier verdict (``ResultStore.read_current``).
+    Forecasts of the touched services are stored too.
     """
     store = ResultStore(spark, root)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         name = f"{batch_id:012d}"
-        rows = normalize.normalize(batch).withColumn("batch_id", F.lit(name))
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(bronze)
-        )
-        seen = spark.read.schema(rows.schema).parquet(bronze).where(F.col("batch_id") <= name)
-        mine = seen.where(F.col("batch_id") == name)
-        newest = mine.agg(F.max("date").alias("d"), F.min("date").alias("first")).first()
-        if newest["d"] is None:
+        rows = normalize.normalize(batch)
+        by_batch(rows, name).parquet(bronze)
+        store.insert_rejects([normalize.rejected(batch)], name)
+        sums = rows.groupBy(*DAILY_KEYS).agg(F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("record_count"))
+        by_batch(sums, name).parquet(f"{bronze}-daily")
+        stored = T.StructType([*sums.schema.fields, T.StructField("batch_id", T.StringType())])
+        seen = spark.read.schema(stored).parquet(f"{bronze}-daily").where(F.col("batch_id") <= name)
+        days = stage(seen.where(F.col("batch_id") == name).select("service_category", "date").distinct(), "days")
+        if days.isEmpty():
             return
-        days = mine.select("service_category", "date").distinct()
-        recent = seen.where(F.col("date") > F.date_sub(F.lit(newest["first"]), history_days))
-        recent = recent.join(days.select("service_category").distinct(), "service_category", "left_semi")
-        verdicts = pipeline.detect(recent.drop("batch_id"), closed, policy=decisions.LIVE_POLICY)
-        flagged = verdicts.where(F.col("is_anomaly") == 1).join(days, ["service_category", "date"], "left_semi")
-        store.insert_anomalies(flagged, name)
+        history = seen.join(days.select("service_category").distinct(), "service_category", "left_semi")
+        total, n = F.sum("cost"), F.sum("record_count")
+        daily = stage(
+            history.groupBy(*DAILY_KEYS).agg(
+                total.cast("double").alias("total_cost"), F.try_divide(total.cast("double"), n.cast("double")).alias("avg_cost"), n.alias("record_count")
+            ),
+            "daily",
+        )
+        verdicts = pipeline.decide(pipeline.judge(pipeline.complete_features(daily, closed), closed), decisions.LIVE_POLICY, closed)
+        reach = days.select("service_category", F.explode(F.sequence("date", F.date_add("date", DEPTH))).alias("date")).distinct()
+        store.insert_anomalies(verdicts.join(reach, ["service_category", "date"], "left_semi"), name)
+        ahead = forecast.seasonal_forecast(stage(rollup.totals(daily), "service-totals"), closed=closed)
+        store.insert_forecasts(pipeline.forecast_contract(ahead), name)
 
     return step
 
 
-def run_live(
-    rows: DataFrame, bronze: str, root: str, checkpoint: str, interval: str | None = INTERVAL, history_days: int = 120
-):
+def by_batch(rows: DataFrame, name: str):
+    """Writer of one batch's folder; writing it again replaces it."""
+    writer = rows.withColumn("batch_id", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.partitionBy("batch_id")
+
+
+def run_live(rows: DataFrame, bronze: str, root: str, checkpoint: str, interval: str | None = INTERVAL):
     """Start the live run; ``interval=None`` works off what is there and stops."""
-    step = live_batch(rows.sparkSession, bronze, root, history_days)
+    step = live_batch(rows.sparkSession, bronze, root)
     writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import segment_id
 from ledgerlight.operators import features, normalize, rollup
-from ledgerlight.schemas import BILLING, BILLING_BULK, BILLING_EXPORT
+from ledgerlight.schemas import BILLING, BILLING_BULK, BILLING_EXPORT, MALFORMED
 from ledgerlight.sources import billing
 
 DIRTY = [
@@ -81,7 +81,7 @@ def test_csv_round_trip_and_append(spark, tmp_path):
     billing.append_batch(df, path, "csv")
     billing.append_batch(df, path, "csv")
     back = billing.read_billing(spark, path)
-    assert back.count() == 6 and back.schema == BILLING
+    assert back.count() == 6 and back.drop(MALFORMED).schema == BILLING
     assert back.where("provider = 'provider'").count() == 0
 
 
@@ -127,3 +127,24 @@ def test_weekday_matrix_and_service_matrix(spark, day):
     assert m["a"]["Monday"] == 3.0 and m["a"]["Tuesday"] == 0.0 and m["b"]["Tuesday"] == 3.0
     wide = {r.date: r for r in rollup.service_matrix(df, ["a", "b"]).collect()}
     assert wide[day(1)].a == 0.0 and wide[day(1)].b == 3.0
+
+
+def test_csv_is_read_by_name_and_rejects_are_kept(spark, tmp_path):
+    header = ["date", "provider", "service", "team", "environment", "resource_id", "cost_usd", "usage_quantity", "usage_unit", "region", "is_anomaly"]
+    bulk = ["date", "provider", "service_category", "team", "environment", "cost_usd", "usage_quantity", "region", "is_anomaly"]
+    value = {"date": "2024-01-02", "provider": "AWS", "service": "compute", "service_category": "compute", "team": "data", "environment": "prod", "resource_id": "r",
+             "cost_usd": "12.5", "usage_quantity": "3", "usage_unit": "hours", "region": "us", "is_anomaly": "1"}
+    seen = []
+    for i, names in enumerate((header, list(reversed(header)), bulk)):
+        (tmp_path / f"l{i}").mkdir()
+        (tmp_path / f"l{i}" / "a.csv").write_text("\n".join([",".join(names), ",".join(value[n] for n in names)]))
+        rows = normalize.normalize(billing.read_billing(spark, str(tmp_path / f"l{i}")))
+        seen.append(rows.select("date", "service_category", "team", "cost_usd", "region", "is_anomaly").first())
+    assert seen[0] == seen[1] == seen[2] and float(seen[0].cost_usd) == 12.5 and seen[0].is_anomaly == 1
+    export = "date,provider,service,team,environment,cost_usd\n" + "\n".join(
+        ["2024-01-02,AWS,compute,a,p,1", "nonsense,AWS,compute,a,p,1", "2024-01-02,AWS,compute,a,p,2e14", "2024-01-02,AWS,compute,a,p,oops", "2024-01-03,AWS,compute,a,p,"])
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.csv").write_text(export)
+    raw = billing.read_billing(spark, str(tmp_path / "bad"))
+    assert sorted(r.reason for r in normalize.rejected(raw).collect()) == ["cost is out of range", "date is unreadable", "line is malformed"]
+    assert normalize.normalize(raw).count() == 2
