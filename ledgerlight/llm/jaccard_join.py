@@ -280,6 +280,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     """(class, component) of the classes that have a link; None if there is nothing to multiply."""
     spark = docs.sparkSession
     classes = profile.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    classes = stage(classes, "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0]
     if not entries:
         return None
@@ -305,7 +306,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
         if last:
             pairs = across_components(open_, fits, num, den)
         else:
-            pairs = within_bound(with_pivots(open_, q, turn, fits), q, num, den)
+            pairs = with_pivots(open_, q, turn, fits, num, den)
         pairs = stage(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if rows is not None:
@@ -324,15 +325,20 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     return None if links is None else whole.select(F.col("node").alias("class"), "component")
 
 
-def with_pivots(entries: DataFrame, q: DataFrame, turn: int, fits) -> DataFrame:
-    """Pairs of each row with its columns' pivots: at first the row of the most shared entries, later any."""
+def with_pivots(entries: DataFrame, q: DataFrame, turn: int, fits, num: int, den: int) -> DataFrame:
+    """Pairs of each row with its columns' pivots: at first the row of the most shared entries, later any.
+
+    The overlap is counted in the columns of that pivot only, so a pair that
+    links may be left to the products across components.
+    """
     if turn == 0:
         ranked = entries.join(q.groupBy("class").agg((-F.count("*")).alias("by")), "class")
     else:
         ranked = entries.withColumn("by", F.xxhash64("class", F.lit(turn)))
     pivots = ranked.groupBy("shingle").agg(F.min(F.struct("by", "class", "n", "component")).alias("p"))
     pairs = entries.join(pivots, "shingle").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
-    return pairs.select(F.greatest("class", "p.class").alias("a"), F.least("class", "p.class").alias("b")).distinct()
+    counted = pairs.groupBy(F.col("class").alias("a"), F.col("p.class").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
 
 
 def across_components(entries: DataFrame, fits, num: int, den: int) -> DataFrame:
@@ -344,13 +350,6 @@ def across_components(entries: DataFrame, fits, num: int, den: int) -> DataFrame
     return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
 
 
-def within_bound(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs whose overlap in the dealt columns reaches the size-derived bound."""
-    side = lambda s: entries.select("shingle", F.col("class").alias(s), F.col("n").alias(f"n_{s}"))
-    counted = pairs.join(side("a"), "a").join(side("b"), ["b", "shingle"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
-
-
 def least_shared(num: int, den: int):
     """What rows that link share among the dealt entries: of the row whose entries end first, at most n - overlap are not shared."""
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
