@@ -46,10 +46,11 @@ from ledgerlight.session import stage
 WIDTH = 5
 NUM, DEN = 3, 4  # the threshold as a fraction
 COMMON = 1 << 18
-COMMON_WINDOW = 5_000_000  # entries that are counted together in a task
+COMMON_WINDOW = 2_000_000  # entries that are counted together in a task
 PRODUCTS_PER_ENTRY = 8
 MOST_SEEN = 1_000_000
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 1_000_000
+TILE_ENTRIES = 500_000  # entries that a task packs at once
 MASK = np.uint64((1 << 52) - 1)
 U64 = np.uint64
 
@@ -134,8 +135,9 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
         order = np.argsort(sent.value)
         table = sent.value[order]
         seen: set[int] = set()
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
             for _, _, data, offsets in wordbytes.parts(batch):
                 rows = Rows(data, offsets, width)
                 new = unseen(rows, seen)
@@ -155,20 +157,25 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
                 first = np.arange(len(row)) - begins[row] < (counts - least_overlap(counts, num, den) + 1)[row]
                 row, shingle, rank = row[first], shingle[first], rank[first]
                 found.append((shingle, rank > 0, rows.classes[row], counts[row]))
-            shingle, is_common, cls, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64),) * 4
-            block = (shingle % U64(n_blocks)).astype(np.int64)
-            if len(cls):
-                spread = -1 - (wordbytes.mix64(cls) % U64(n_blocks)).astype(np.int64)
-                block = np.where(is_common.astype(bool), spread, block)
-            by = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[by])) + 1
-            for part in np.split(by, cuts):
-                if len(part):
-                    classes, index = np.unique(cls[part], return_inverse=True)
-                    sizes = np.zeros(len(classes), np.uint32)
-                    sizes[index] = n[part]
-                    packed = (shingle[part].tobytes(), index.astype(np.uint16 if len(classes) <= 1 << 16 else np.uint32).tobytes(), classes.tobytes(), sizes.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]])] + [pa.array([p], pa.binary()) for p in packed], ["block", "shingles", "index", "classes", "sizes"])
+                held += len(row)
+                if held >= TILE_ENTRIES:
+                    yield from packed(found)
+                    found, held = [], 0
+        if held:
+            yield from packed(found)
+
+    def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        shingle, is_common, cls, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        block = (shingle % U64(n_blocks)).astype(np.int64)
+        block = np.where(is_common, -1 - (wordbytes.mix64(cls) % U64(n_blocks)).astype(np.int64), block)
+        by = np.argsort(block, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
+            classes, index = np.unique(cls[part], return_inverse=True)
+            sizes = np.zeros(len(classes), np.uint32)
+            sizes[index] = n[part]
+            index = index.astype(np.uint16 if len(classes) <= 1 << 16 else np.uint32)
+            row = [pa.array([x.tobytes()], pa.binary()) for x in (shingle[part], index, classes, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]]), *row], ["block", "shingles", "index", "classes", "sizes"])
 
     return docs.select("text").mapInArrow(scan, "block long, shingles binary, index binary, classes binary, sizes binary")
 

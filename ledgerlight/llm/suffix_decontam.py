@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
 
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 32 << 20
 WINDOW = 10
 
