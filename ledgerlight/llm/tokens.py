@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,10 @@ SEPARABLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 # Words of printable ASCII and Latin letters: they are composed already, and lower-case one by one.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PART_BYTES = 1 << 21
-MOST_WORDS = 200_000
-MOST_PIECES = 600_000
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = b".,:;!?"
+MOST_WORDS = 600_000
+MOST_PIECES = 300_000
 
 
 class Encoder:
@@ -39,50 +41,48 @@ class Encoder:
         self.separable = separable(path) and not any(len(s.split()) != 1 for s in self.special)
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.as_bytes = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.words, self.pieces = {}, {}
+        self.words, self.pieces = Memory(self._word), Memory(self._piece)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; null is empty."""
         if not self.separable:
             return self._whole([(t or b"").decode() for t in texts])
-        out: list[bytes] = []
-        part: list[list[bytes]] = []
-        size = 0
+        out, known = [], self.words.__getitem__
         for text in texts:
-            part.append(text.split() if text else [])
-            size += len(text or b"")
-            if size >= PART_BYTES:
-                out += self._joined(part)
-                part, size = [], 0
-        return out + self._joined(part)
+            for memory, most in ((self.words, MOST_WORDS), (self.pieces, MOST_PIECES)):
+                if len(memory) > most:
+                    memory.clear()
+            out.append(b"".join(map(known, text.split())) if text else b"")
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, part: list[list[bytes]]) -> list[bytes]:
-        for memory, most in ((self.words, MOST_WORDS), (self.pieces, MOST_PIECES)):
-            if len(memory) > most:
-                memory.clear()
-        self._learn(set().union(*part) - self.words.keys())
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in part]
-
-    def _learn(self, words: set[bytes]) -> None:
-        other = []
-        for word in words:
-            text = word.decode()
-            if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
-                self.words[word] = b"".join(map(self._piece, PLAIN_PIECE.findall(text.lower())))
-            else:
-                other.append(word)
-        self.words.update(zip(other, self._whole([w.decode() for w in other]), strict=True))
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        text = core.decode()
+        if LETTERS.fullmatch(text):
+            ids = self.pieces[text.lower()]
+            return ids if len(core) == len(word) else ids + self.pieces[word[len(core) :].decode()]
+        text = word.decode()
+        if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
+            return b"".join([self.pieces[p] for p in PLAIN_PIECE.findall(text.lower())])
+        return self._whole([text])[0]
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            found = self.model.tokenize(piece.translate(self.as_bytes))
-            ids = self.pieces[piece] = np.array([t.id for t in found], self.dtype).tobytes()
-        return ids
+        found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))
+        return array(self.dtype.char, [t.id for t in found]).tobytes()
+
+
+class Memory(dict):
+    """Values by key, made by ``make`` when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 def separable(path: str) -> bool:
