@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from ..schemas import ROW_KEY
 from ..session import stage_path
 
+# Input columns of the model, in the given order.
 ATTRIBUTION_FEATURES = (
     "cost_lag_1", "cost_lag_7", "rolling_mean_7", "rolling_std_7", "cost_change_1d", "cost_change_7d",
     "day_of_week", "month", "is_weekend", "is_month_end",

@@ -83,6 +83,15 @@ FALLBACK_TEXTS = {
 }
 
 
+# Insight text by cost above a bound, and the remark where the severity stands.
+INSIGHTS = (
+    (4000, "Severe cost spike detected (", ") — immediate attention required"),
+    (2000, "Significant cost anomaly detected (", ")"),
+)
+MODERATE_INSIGHT = (800, "Moderate deviation from normal spend")
+MINOR_INSIGHT = "Minor anomaly — within acceptable variation"
+
+
 def rule_texts(cost: Column, severity: Column, service: Column, team: Column) -> dict[str, Column]:
     """The four texts of an anomaly; NULL where an input is missing."""
     level = F.when(severity == "high", "critical").when(severity == "medium", "moderate").otherwise("low")
@@ -91,12 +100,9 @@ def rule_texts(cost: Column, severity: Column, service: Column, team: Column) ->
     for key, (why, what) in CAUSE_AND_ACTION.items():
         cause = F.when(name == key, why).otherwise(cause)
         action = F.when(name == key, what).otherwise(action)
-    insight = (
-        F.when(cost > 4000, F.concat(F.lit("Severe cost spike detected ("), level, F.lit(") — immediate attention required")))
-        .when(cost > 2000, F.concat(F.lit("Significant cost anomaly detected ("), level, F.lit(")")))
-        .when(cost > 800, "Moderate deviation from normal spend")
-        .otherwise("Minor anomaly — within acceptable variation")
-    )
+    insight = F.when(cost > MODERATE_INSIGHT[0], MODERATE_INSIGHT[1]).otherwise(MINOR_INSIGHT)
+    for bound, before, after in reversed(INSIGHTS):
+        insight = F.when(cost > bound, F.concat(F.lit(before), level, F.lit(after))).otherwise(insight)
     known = cost.isNotNull()
     return {
         "llm_insight": F.when(known, insight),

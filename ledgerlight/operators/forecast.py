@@ -246,6 +246,7 @@ def spend_timeline(history: DataFrame, forecast: DataFrame, key: str = "service_
 
 # --- boosted trees --------------------------------------------------------------
 
+# Input columns of the model, in the given order.
 BOOST_FEATURES = (
     "cost_lag_1", "cost_lag_7", "cost_lag_30", "rolling_mean_7", "rolling_mean_30", "rolling_std_7",
     "cost_change_1d", "cost_change_7d", "day_of_week", "month", "week_of_year", "is_weekend", "is_month_end",

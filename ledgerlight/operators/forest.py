@@ -19,6 +19,7 @@ from ..functions.quantiles import exact_quantiles
 from ..schemas import ROW_KEY
 from ..session import stage
 
+# Input columns of the model, in the given order.
 FOREST_FEATURES = (
     "cost_lag_1", "cost_lag_7", "rolling_mean_7", "rolling_std_7", "cost_change_1d", "cost_change_7d",
     "deviation_from_mean", "day_of_week", "is_weekend",

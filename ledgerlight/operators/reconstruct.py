@@ -125,6 +125,7 @@ def window_reconstruction(
     }).drop("_error", "_cut")
 
 
+# Input columns of the model, in the given order.
 MULTI_COLUMNS = ("cost_usd", "rolling_mean_7", "rolling_std_7", "pct_change_1d")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import MONEY
 
 
-def _offset(df: DataFrame, start: str | None) -> Column:
-    first = F.lit(start).cast("date") if start else df.select(F.min("date").alias("_first")).scalar()
+def _offset(df: DataFrame, start: str | Column | None) -> Column:
+    first = F.lit(start).cast("date") if start is not None else df.select(F.min("date").alias("_first")).scalar()
     return F.datediff(F.col("date"), first)
 
 
@@ -33,9 +33,9 @@ def _scaled(df: DataFrame, hit: Column, factor: Column) -> DataFrame:
 
 def inject_spikes(
     df: DataFrame, offsets: Sequence[int] | None = None, every: int | None = None, factor: float = 4.0,
-    where: Column | None = None, start: str | None = None,
+    where: Column | None = None, start: str | Column | None = None,
 ) -> DataFrame:
-    """Multiply the cost on the listed days, or on every ``every``-th day."""
+    """Multiply the cost on the listed days, or on every ``every``-th day, counted from ``start`` (else the first day of ``df``)."""
     day = _offset(df, start)
     hit = day.isin(list(offsets)) if offsets is not None else (day % every == every - 1)
     if where is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions.columns import ratio_change
 from .features import trailing
 
+# Input columns of the model, in the given order.
 SEGMENT_FEATURES = (
     "rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", "rolling_mean_30", "rolling_std_30",
     "pct_change_1d", "pct_change_7d", "ema_7", "ema_14",
