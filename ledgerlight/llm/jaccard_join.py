@@ -304,7 +304,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
             counts = open_.groupBy("shingle", "component").agg(F.count("*").alias("m"))
             counts = counts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
             counts = stage(counts.where("parts > 1"), "open-columns")
-            open_ = stage(open_.join(counts.select("shingle"), "shingle", "left_semi"), "open-entries")
+            open_ = open_.join(counts.select("shingle"), "shingle", "left_semi")
         size, across = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()
         if not size:
             break
@@ -329,6 +329,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
             open_ = open_.withColumn("component", F.coalesce("component", "class"))
         if last:
             break
+        open_ = stage(open_, "open-entries")
     return None if links is None else whole.select(F.col("node").alias("class"), "component")
 
 
