@@ -33,6 +33,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             lengths = [len(ids) // coder.dtype.itemsize for part in slices(batch, "text", 1 << 24) for ids in coder.encode(text_bytes(part.column("text")))]
             values, counts = np.unique(np.array(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["length", "n"])
+        coder.forget()
 
     return docs.select("text").mapInArrow(count, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
 

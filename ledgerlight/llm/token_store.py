@@ -127,6 +127,7 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
                         number, keys, ids, size = number + 1, [], [], 0
         if keys:
             yield shard()
+        coder.forget()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")

@@ -28,8 +28,8 @@ PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = b".,:;!?"
-MOST_WORDS = 600_000
-MOST_PIECES = 300_000
+MOST_WORDS = 300_000
+MOST_PIECES = 200_000
 
 
 class Encoder:
@@ -55,6 +55,11 @@ class Encoder:
             out.append(b"".join(map(known, text.split())) if text else b"")
         return out
 
+    def forget(self) -> None:
+        """Give the memory back; a task does so at its end, since its worker lives on."""
+        self.words.clear()
+        self.pieces.clear()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -102,7 +107,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file, so that tasks share its memory."""
+    """One encoder per Python worker and file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
