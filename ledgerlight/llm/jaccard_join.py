@@ -94,7 +94,7 @@ def unseen(rows: Rows, seen: set[int]) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, key, n, class) of each document; kind 1: (n, class) as count and shingle of what repeats within a task."""
+    """kind 0: (doc_id, key, text_hash, n, class) of each document; kind 1: (n, class) as count and shingle of what repeats within a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,7 +104,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             for a, z, data, offsets in wordbytes.parts(batch):
                 rows = Rows(data, offsets, width)
                 cls = pa.array(rows.classes.view(np.int64), mask=rows.counts == 0)
-                yield out(np.zeros(z - a, np.int8), batch.column("doc_id").slice(a, z - a), batch.column("key").slice(a, z - a), rows.counts, cls)
+                yield out(np.zeros(z - a, np.int8), batch.column("doc_id").slice(a, z - a), batch.column("key").slice(a, z - a), batch.column("text_hash").slice(a, z - a), rows.counts, cls)
                 new = unseen(rows, seen)
                 window.append(rows.shingle[new[rows.row]])
                 held += len(window[-1])
@@ -118,13 +118,13 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         shingles, times = np.unique(np.concatenate(window), return_counts=True)
         shingles, times = shingles[times > 1], times[times > 1]
         nulls = pa.nulls(len(times), pa.int64())
-        return out(np.ones(len(times), np.int8), nulls, nulls, times, pa.array(shingles.view(np.int64)))
+        return out(np.ones(len(times), np.int8), nulls, nulls, nulls, times, pa.array(shingles.view(np.int64)))
 
-    def out(kind, doc_id, key, n, cls) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind), doc_id, key, pa.array(n.astype(np.int64)), cls], ["kind", "doc_id", "key", "n", "class"])
+    def out(kind, doc_id, key, text_hash, n, cls) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind), doc_id, key, text_hash, pa.array(n.astype(np.int64)), cls], ["kind", "doc_id", "key", "text_hash", "n", "class"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    return rows.mapInArrow(scan, "kind byte, doc_id long, key long, n long, class long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(scan, "kind byte, doc_id long, key long, text_hash long, n long, class long")
 
 
 def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: int, den: int) -> DataFrame:
@@ -365,33 +365,38 @@ def least_shared(num: int, den: int):
 
 
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, key, n_shingles, class (of equal sets), component_id (least doc_id reachable by links)."""
+    """One row per document: doc_id, text_hash, n_shingles, class (of equal sets), component_id (least doc_id reachable by links), kept.
+
+    Kept are, of each component, the rows of one doc_id and text, the least ones; and all rows without shingles.
+    """
     profile = stage(profiles(docs, width), "profiles")
-    each = profile.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "class")
+    each = profile.where("kind = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class")
     parts = class_components(docs, profile, width, num, den)
-    classes = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key"))
+    classes = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first"))
     if parts is None:
-        named = classes.select("class", F.col("least").alias("component_id"), "least_key")
+        named = classes.select("class", F.col("least").alias("component_id"), "first")
     else:
         classes = classes.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        ids = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.min("least_key").alias("least_key"))
-        named = classes.select("class", "component").join(ids, "component").select("class", "component_id", "least_key")
+        ids = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        named = classes.select("class", "component").join(ids, "component").select("class", "component_id", "first")
     alone = F.col("class").isNull()
     return each.join(named, "class", "left").select(
-        "doc_id", "key", "n_shingles", "class", F.coalesce("component_id", F.when(alone, F.col("doc_id"))).alias("component_id"),
-        F.when(alone, F.col("key")).otherwise(F.coalesce("component_id", "least_key")).alias("kept_key"),
+        "doc_id", "text_hash", "n_shingles", "class", F.coalesce("component_id", F.when(alone, F.col("doc_id"))).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("kept"),
     )
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents of the least doc_id of each component, as they came; of repeated ones, one.
+    """One document of each component, as it came: that of the least doc_id, and of several texts of that id the one of the least hash.
 
     A component without any doc_id keeps the document of the least text hash.
+    Rows are told apart by doc_id and text, so a doc_id may repeat with other
+    texts; of rows equal in both, one stays, with shingles or without.
     """
-    rows = stage(join(docs, width, num, den).select("key", "kept_key"), "joined")
-    dropped = stage(rows.where("key <> kept_key").select("key").distinct(), "dropped")
-    kept = docs.withColumn("jaccard_key", row_key())
-    kept = kept.join(dropped.withColumnRenamed("key", "jaccard_key"), "jaccard_key", "left_anti")
-    if not rows.groupBy("key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["jaccard_key"])
+    rows = stage(join(docs, width, num, den).select("doc_id", "text_hash", "kept"), "joined")
+    dropped = stage(rows.where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct(), "dropped")
+    kept = docs.withColumns({"jaccard_id": F.col("doc_id").cast("long"), "jaccard_hash": F.xxhash64("text")})
+    kept = kept.join(dropped, F.expr("jaccard_id <=> dropped_id AND jaccard_hash = dropped_hash"), "left_anti")
+    if not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["jaccard_id", "jaccard_hash"])
     return kept.select(docs.columns)

@@ -117,6 +117,17 @@ def test_jaccard(odd, nothing):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7, 9, 10]
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """A doc_id may repeat with other texts: only copies go, and a null row is not document 42."""
+    one, two, three = WORDS, " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, one), (2, one), (2, two), (2, three), (2, three), (3, three + " more"), (42, "x y z"), (None, None), (None, None), (5, None), (5, ""), (5, ""), (None, two), (None, "lone words")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, one), (2, two), (2, three), (42, "x y z"), (None, None), (5, None), (5, ""), (None, "lone words")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+    near = [(7, three), (7, three + " more"), (8, three)]
+    assert [r.doc_id for r in jaccard_join.one_of_each(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [7]
+
+
 def test_mixing(odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 13 and all(0 <= r.taken <= 2 * r.size for r in rows)
