@@ -143,11 +143,25 @@ class ResultStore:
 
         The filters are on parts of the identity, so they may come first and prune folders.
         """
-        df = of(self.read(table), service, provider)
+        return self._newest(of(self.read(table), service, provider), table)
+
+    def _newest(self, df: DataFrame, table: str) -> DataFrame:
         identity = ["id"] if "id" in df.columns else list(IDENTITY[table])
         newest = W.partitionBy(*identity).orderBy(F.col("batch_id").desc())
         return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1).drop("_rn")
 
+    def changed(self, df: DataFrame, table: str, batch_id: str) -> DataFrame:
+        """The rows of ``df``, in the table's schema, that differ from the newest ones of the batches before.
+
+        Rows the batch itself has stored count as changed, so a replay replaces them.
+        """
+        rows, stored = to_contract(df, table), self.read(table)
+        own = stored.where(F.col("batch_id") == batch_id).select("id")
+        newest = self._newest(stored.where(F.col("batch_id") < batch_id), table).join(own, "id", "left_anti")
+        values = [f.name for f in TABLES[table].fields if f.name not in ("id", "created_at")]
+        known = newest.select(F.col("id").alias("_id"), F.struct(*values).alias("_stored"))
+        return rows.withColumn("_row", F.struct(*values)).join(known, F.expr("id = _id AND _row <=> _stored"), "left_anti").drop("_row")
+
     def clear_all(self) -> None:
         """Drop all result rows before a new analysis; the tables stay readable."""
         for table, schema in TABLES.items():

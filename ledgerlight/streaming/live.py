@@ -155,8 +155,9 @@ def live_batch(spark: SparkSession, bronze: str, root: str, closed: bool = False
     table, both under the batch id, so a replay replaces them. The services the
     batch touches are judged again over their whole history, which is read from
     the daily sums (one row per series, day and batch), never from raw rows.
-    All verdicts of the days a late row can change are stored, flagged or not:
-    the batch's own days and the ``DEPTH`` that follow. A day that is no longer
+    Deviations and cut-offs are over the whole history, so a batch can change
+    the verdict of any day of these services: every verdict that differs from
+    the newest stored one is stored, flagged or not. A day that is no longer
     anomalous so replaces its earlier verdict (``ResultStore.read_current``).
     Forecasts of the touched services are stored too.
     """
@@ -171,10 +172,10 @@ def live_batch(spark: SparkSession, bronze: str, root: str, closed: bool = False
         by_batch(sums, name).parquet(f"{bronze}-daily")
         stored = T.StructType([*sums.schema.fields, T.StructField("batch_id", T.StringType())])
         seen = spark.read.schema(stored).parquet(f"{bronze}-daily").where(F.col("batch_id") <= name)
-        days = stage(seen.where(F.col("batch_id") == name).select("service_category", "date").distinct(), "days")
-        if days.isEmpty():
+        touched = stage(seen.where(F.col("batch_id") == name).select("service_category").distinct(), "touched")
+        if touched.isEmpty():
             return
-        history = seen.join(days.select("service_category").distinct(), "service_category", "left_semi")
+        history = seen.join(touched, "service_category", "left_semi")
         total, n = F.sum("cost"), F.sum("record_count")
         daily = stage(
             history.groupBy(*DAILY_KEYS).agg(
@@ -183,8 +184,7 @@ def live_batch(spark: SparkSession, bronze: str, root: str, closed: bool = False
             "daily",
         )
         verdicts = pipeline.decide(pipeline.judge(pipeline.complete_features(daily, closed), closed), decisions.LIVE_POLICY, closed)
-        reach = days.select("service_category", F.explode(F.sequence("date", F.date_add("date", DEPTH))).alias("date")).distinct()
-        store.insert_anomalies(verdicts.join(reach, ["service_category", "date"], "left_semi"), name)
+        store.insert_anomalies(stage(store.changed(verdicts, "anomaly_logs", name), "changed"), name)
         ahead = forecast.seasonal_forecast(stage(rollup.totals(daily), "service-totals"), closed=closed)
         store.insert_forecasts(pipeline.forecast_contract(ahead), name)
 

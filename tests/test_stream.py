@@ -141,6 +141,27 @@ def test_live_verdicts_follow_late_rows(spark, bills, tmp_path, day):
     assert got == want
 
 
+def test_live_verdicts_of_all_days_follow_a_later_spike(spark, bills, tmp_path, day):
+    """Later spikes push days far before them out of deviation and top share; a series with a gap; a replay."""
+    bronze, root = str(tmp_path / "bronze"), str(tmp_path / "results")
+    step, store = live.live_batch(spark, bronze, root), ResultStore(spark, root)
+    store.create_tables()
+    first, later = bills(0, 100, (40, 50)), bills(140, 150, (141, 143, 145, 147))
+    later = later.withColumn("cost_usd", F.col("cost_usd") * 10).where("service_category = 'compute'")
+    verdicts = lambda rows, kind: {(r.service_category, kind(r.date), bool(r.is_anomaly), r.model_votes) for r in rows.collect()}
+    current = lambda: verdicts(store.read_current("anomaly_logs"), lambda d: d.date())
+    step(first, 0)
+    before = current()
+    step(later, 1)
+    want = verdicts(pipeline.detect(first.unionByName(later), policy=decisions.LIVE_POLICY), lambda d: d)
+    assert any(v not in want and v[1] <= day(50) for v in before)
+    assert current() == want
+    rows = store.read("anomaly_logs").count()
+    assert store.read("anomaly_logs").where("batch_id = '000000000001' AND service_category = 'storage'").isEmpty()
+    step(later, 1)
+    assert current() == want and store.read("anomaly_logs").count() == rows
+
+
 def test_append_stream_continues_from_its_checkpoint(spark, bills, tmp_path):
     src, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     for i in range(2):
