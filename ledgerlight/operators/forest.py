@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,11 @@ def row_hash(row_key: Sequence[str], seed: int = SEED) -> Column:
     return F.xxhash64(*[F.col(c).cast("string") for c in row_key], F.lit(seed))
 
 
+def _group_key(group: str) -> Column:
+    """The group as text that is never NULL, so rows without a group meet in joins too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+
+
 def _vector(features: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
 
@@ -85,13 +91,13 @@ def fit_forest(
     forest does not depend on the partitioning. Splits ignore scale, so no
     standardisation is needed.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(_group_key(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
     share = F.lit(float(sample)) / F.greatest(F.col("_n"), F.lit(sample)) * F.lit(_BUCKETS)
     picks = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col("_h"), t), F.lit(_BUCKETS)) < share
     )
     drawn = (
-        attach(df.select(group, row_hash(row_key).alias("_h"), _vector(features).alias("_x")), sizes, [group], closed)
+        attach(df.select(group, _group_key(group).alias("_group"), row_hash(row_key).alias("_h"), _vector(features).alias("_x")), sizes, ["_group"], closed)
         .withColumn("tree", F.explode(picks))
         .select(group, "tree", "_h", "_x", "_n")
     )
@@ -158,11 +164,14 @@ def score_forest(
     """Add ``if_score`` in (0, 1]; larger is more anomalous.
 
     The node table is broadcast only while it is below ``broadcast_nodes``;
-    beyond that rows and nodes meet in salted co-groups.
+    beyond that rows and nodes meet in salted co-groups. Both ways give the
+    same scores: rows without a group are a group of their own, and a group
+    without nodes has the score NULL.
     """
     if nodes.count() > broadcast_nodes:
         return _score_by_shuffle(df, nodes, group, features, row_key)
-    packed = {key: _pack(part) for key, part in nodes.toPandas().groupby(group)}
+    keyed = nodes.withColumn("_group", _group_key(group)).drop(group)
+    packed = {key: _pack(part) for key, part in keyed.toPandas().groupby("_group")}
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
     @F.pandas_udf("double")
@@ -175,25 +184,31 @@ def score_forest(
                     out[at] = _score(forest[key], np.stack(vectors[at].to_numpy()))
             yield out
 
-    return df.withColumn("if_score", F.nanvl(path_score(F.col(group), _vector(features)), F.lit(None).cast("double")))
+    return df.withColumn("if_score", F.nanvl(path_score(_group_key(group), _vector(features)), F.lit(None).cast("double")))
 
 
 def _score_by_shuffle(
     df: DataFrame, nodes: DataFrame, group: str, features: Sequence[str], row_key: Sequence[str]
 ) -> DataFrame:
-    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / SCORE_ROWS).cast("int").alias("_salts"))
-    rows = df.join(sizes, group).withColumn("_salt", F.pmod(row_hash(row_key), F.col("_salts")).cast("int")).drop("_salts")
+    key = _group_key(group)
+    sizes = df.groupBy(key.alias("_group")).agg(F.ceil(F.count(F.lit(1)) / SCORE_ROWS).cast("int").alias("_salts"))
+    rows = df.withColumn("_group", key).join(sizes, "_group").withColumn("_salt", F.pmod(row_hash(row_key), F.col("_salts")).cast("int")).drop("_salts")
     rows = rows.withColumn("_x", _vector(features))
-    copies = nodes.join(sizes, group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    copies = nodes.withColumn("_group", key).drop(group).join(sizes, "_group")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     schema = T.StructType([*df.schema.fields, T.StructField("if_score", T.DoubleType())])
-    names = df.columns
+    names, width = df.columns, len(features)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return left[names].assign(if_score=pd.Series(dtype=float))
-        return left[names].assign(if_score=_score(_pack(right), np.stack(left["_x"].to_numpy())))
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Arrow, so the rows' other columns come back as they went.
+        if not left.num_rows or not right.num_rows:
+            scores = pa.nulls(left.num_rows, pa.float64())
+        else:
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in left.column("_x").chunks]).reshape(-1, width)
+            scores = pa.array(_score(_pack(right.to_pandas()), x))
+        return left.select(names).append_column("if_score", scores)
 
-    return rows.groupBy(group, "_salt").cogroup(copies.groupBy(group, "_salt")).applyInPandas(score, schema)
+    return rows.groupBy("_group", "_salt").cogroup(copies.groupBy("_group", "_salt")).applyInArrow(score, schema)
 
 
 def isolation_forest(
@@ -213,11 +228,11 @@ def isolation_forest(
     """
     train = df.where(fit_rows) if fit_rows is not None else df
     nodes = stage(fit_forest(train, group, features, row_key, trees=trees, closed=closed), "forest")
-    scored = stage(score_forest(df, nodes, group, features, row_key), "forest-scores")
+    scored = stage(score_forest(df, nodes, group, features, row_key), "forest-scores").withColumn("_group", _group_key(group))
     base = scored.where(fit_rows) if fit_rows is not None else scored
-    cuts = exact_quantiles(base, [group], "if_score", {"_cut": 1 - contamination}, closed)
+    cuts = exact_quantiles(base, ["_group"], "if_score", {"_cut": 1 - contamination}, closed)
     return (
-        attach(scored, cuts, [group], closed)
+        attach(scored, cuts, ["_group"], closed)
         .withColumn("if_flag", flag(F.col("if_score") > F.col("_cut")))
-        .drop("_cut")
+        .select(*df.columns, "if_score", "if_flag")
     )

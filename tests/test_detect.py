@@ -76,6 +76,22 @@ def test_forest_shuffle_path_equals_broadcast_path(spiky):
     assert nodes.groupBy("service_category", "tree").count().agg(F.max("count")).first()[0] <= 2 * 512
 
 
+def test_forest_paths_agree_on_rows_without_group_and_groups_without_nodes(spiky):
+    rows = spiky.withColumn("service_category", F.when((F.col("service_category") == "a") & (F.col("team") == "x"), None).otherwise(F.col("service_category")))
+    rows = rows.withColumn("odd", F.when(F.col("team") == "x", float("nan"))).withColumn("big", F.when(F.col("team") == "y", F.lit((1 << 53) + 1)))
+    nodes = forest.fit_forest(rows.where("service_category IS NULL OR service_category = 'a'"), trees=10).cache()
+    key = ["service_category", "team", "date"]
+    a, b = (forest.score_forest(rows, nodes, broadcast_nodes=n).orderBy(*key).collect() for n in (forest.BROADCAST_NODES, 0))
+    assert len(a) == len(b) == 680
+    for p, q in zip(a, b, strict=True):
+        assert (p.if_score is None) == (q.if_score is None) == (p.service_category == "b")
+        assert p.if_score is None or p.if_score == pytest.approx(q.if_score, abs=1e-12)
+        assert [str(v) for v in p[:-1]] == [str(v) for v in q[:-1]]
+    assert nodes.where("service_category IS NULL").agg(F.max("sample"), F.countDistinct("tree")).first() == (170, 10)
+    flagged = forest.isolation_forest(rows, trees=10).where("service_category IS NULL")
+    assert flagged.count() == 170 and flagged.agg(F.sum("if_flag")).first()[0] == 9
+
+
 def test_window_errors_match_numpy(spark, day, spiky):
     out = reconstruct.window_reconstruction(spiky).orderBy("service_category", "team", "date").toPandas()
     for _, g in out.groupby("service_category"):
