@@ -9,7 +9,9 @@ longest verbatim match. Words are compared by 64-bit hashes.
 How it scales: documents are scanned once and not shuffled; the result has one
 row per document. The benchmark is sent to all tasks in blocks of at most
 ``BLOCK_BYTES`` of text; should it have several, the documents pass one block
-after the other in the same stage, handing on the words hit so far.
+after the other in the same stage, handing on the words hit so far. The bound
+is on one block, not on the benchmark: the driver and every task hold the
+blocks of all of it at once, so it has to fit their memory.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A
 window is ``window`` consecutive words of an item; an item of fewer, but not
