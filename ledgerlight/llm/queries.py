@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import decision_list, jaccard_join, length_histogram, mixing, pu_toxicity, skip_crf, snapshots, suffix_decontam, token_store, warc
+from ledgerlight.llm import (
+    decision_list, grammar_runs, hilbert_shards, jaccard_join, length_histogram, mixing, pu_toxicity, resident_lloyd, skip_crf, snapshots,
+    suffix_decontam, token_store, warc,
+)
 from ledgerlight.session import stage_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +69,18 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resident_lloyd.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_runs.digests(grammar_runs.detect(grammar_runs.repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
@@ -77,9 +92,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_skip_crf": op8_skip_crf,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix": op10_mix,
+    "op11_resident_lloyd": op11_resident_lloyd,
+    "op12_hilbert_shards": op12_hilbert_shards,
+    "op13_grammar_runs": op13_grammar_runs,
 }
 ORACLE: dict[str, str] = {
     "op4_snapshot_collapse": snapshots.ORACLE_SNAPSHOTS,
     "op6_warc_derivatives": warc.oracle_sql(),
     "op10_mix": mixing.ORACLE_MIX,
+    "op11_resident_lloyd": resident_lloyd.oracle_sql(),
+    "op12_hilbert_shards": hilbert_shards.oracle_sql(),
 }
