@@ -81,13 +81,17 @@ def engineer_features(
     closed: bool = False,
 ) -> DataFrame:
     """Full feature frame. ``zscore`` is taken before incomplete rows go."""
-    w = series_window(series_keys)
-    scored = with_global_zscore(daily, closed=closed)
-    out = with_change(with_rolling(with_lags(scored, w), w), w)
-    out = with_calendar(with_deviation(out))
+    out = series_features(with_global_zscore(daily, closed=closed), series_keys)
     return complete_rows(out) if complete else out
 
 
+def series_features(daily: DataFrame, series_keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
+    """The features that need a row's own series only: all but ``zscore``."""
+    w = series_window(series_keys)
+    out = with_change(with_rolling(with_lags(daily, w), w), w)
+    return with_calendar(with_deviation(out))
+
+
 def min_history(
     df: DataFrame, rows: int = 30, keys: Sequence[str] = ("service_category",), closed: bool = False
 ) -> DataFrame:

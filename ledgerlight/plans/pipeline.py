@@ -38,6 +38,11 @@ def judge(rows: DataFrame, closed: bool = False, sequence: str = "series", conta
         raise ValueError(f"unknown sequence {sequence!r}")
     by_service = sequence == "service"
     scored = zscore.zscore_detector_by_service(rows, closed=closed) if by_service else zscore.zscore_detector(rows)
+    return judge_scored(scored, closed, by_service, contamination)
+
+
+def judge_scored(scored: DataFrame, closed: bool = False, by_service: bool = False, contamination: float = 0.05) -> DataFrame:
+    """The detectors after the z-score, then the vote."""
     scored = forest.isolation_forest(scored, contamination=contamination, closed=closed)
     scored = reconstruct.window_reconstruction(scored, closed=closed, by_service=by_service)
     return vote.vote(scored)

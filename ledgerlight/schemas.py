@@ -95,6 +95,14 @@ REJECTS = _fields([
     ("row", _S, True),
 ])
 
+# Rows of each live batch: arrived = kept + rejected; and the verdicts it stored.
+LIVE_BATCHES = _fields([
+    ("arrived", _L, False),
+    ("kept", _L, False),
+    ("rejected", _L, False),
+    ("verdicts", _L, False),
+])
+
 # Wider tables the reference computes but never stores.
 BREACH_RESULTS = _fields([
     ("service_category", _S, False),
@@ -129,6 +137,7 @@ TABLES = {
     "correlated_anomalies": CORRELATED_RESULTS,
     "anomaly_causes": ANOMALY_CAUSES,
     "rejects": REJECTS,
+    "live_batches": LIVE_BATCHES,
 }
 
 # Lengths the row contract may enforce on text columns.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,5 +60,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
+    scope = getattr(_scopes, "paths", None)
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def collected_stages(paths: list[str]) -> Iterator[None]:
+    """Note the folders that this thread stages inside in ``paths``."""
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = paths
+    try:
+        yield
+    finally:
+        _scopes.paths = outer
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged inside at the end; no frame that reads it may be used after."""
+    paths: list[str] = []
+    try:
+        with collected_stages(paths):
+            yield
+    finally:
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of any file system the session reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

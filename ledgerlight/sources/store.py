@@ -21,6 +21,7 @@ LAYOUT = {
     "correlated_anomalies": None,
     "anomaly_causes": "service_category",
     "rejects": None,
+    "live_batches": None,
 }
 # Columns that identify a row of each table.
 IDENTITY = {

@@ -18,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import decisions, forecast, normalize, rollup
+from ..operators import decisions, features, forecast, normalize
 from ..operators.rollup import DAILY_KEYS
 from ..plans import pipeline
-from ..schemas import SERIES_KEYS
-from ..session import stage, stage_path
+from ..schemas import MALFORMED, SERIES_KEYS
+from ..session import stage, stage_path, staging
 from ..sources.billing import usage_events
-from ..sources.store import ResultStore
+from ..sources.store import ResultStore, to_contract
+from .state import LiveState, advance, of_keys
 
 INTERVAL = "60 seconds"
 DEPTH = 30
@@ -33,10 +34,12 @@ DEPTH = 30
 def arriving_rows(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None, glob: str | None = None
 ) -> DataFrame:
+    if fmt == "csv" and MALFORMED not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
-        # A header that differs from the schema is an error, not a wrong reading.
-        reader = reader.option("header", True).option("enforceSchema", False)
+        # A header that differs from the schema is an error, not a wrong reading; a line that does not fit is kept whole.
+        reader = reader.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", MALFORMED)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
@@ -151,42 +154,54 @@ def streaming_features(days: DataFrame, keys: tuple[str, ...] = SERIES_KEYS, idl
 def live_batch(spark: SparkSession, bronze: str, root: str, closed: bool = False):
     """The ``foreachBatch`` step of the live run.
 
-    A batch's rows go to the bronze table and their daily sums to a rollup
-    table, both under the batch id, so a replay replaces them. The services the
-    batch touches are judged again over their whole history, which is read from
-    the daily sums (one row per series, day and batch), never from raw rows.
-    Deviations and cut-offs are over the whole history, so a batch can change
-    the verdict of any day of these services: every verdict that differs from
-    the newest stored one is stored, flagged or not. A day that is no longer
-    anomalous so replaces its earlier verdict (``ResultStore.read_current``).
-    Forecasts of the touched services are stored too.
+    A batch's rows go to the bronze table under the batch id; their daily sums
+    are merged into the run's state (``streaming.state``). The services the
+    batch touches are judged again: series with new rows get new features and
+    z-scores, the others keep theirs, and the detectors that look at a whole
+    service run over its rows in the state. Deviations and cut-offs are over
+    the whole history, so a batch can change the verdict of any day of these
+    services: every verdict that differs from the newest one is stored, flagged
+    or not, and the table ends equal to a batch run over all rows. What is
+    turned away goes to ``rejects``, counts of each batch to ``live_batches``.
+    Everything is keyed by the batch id, so a replay replaces it.
     """
-    store = ResultStore(spark, root)
+    store, state = ResultStore(spark, root), LiveState(spark, f"{bronze}-state")
+    state.create()
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        name = f"{batch_id:012d}"
-        rows = normalize.normalize(batch)
+        with staging(spark):
+            run(batch, f"{batch_id:012d}")
+
+    def run(batch: DataFrame, name: str) -> None:
+        raw = stage(batch, "arrived")
+        rows = normalize.normalize(raw)
         by_batch(rows, name).parquet(bronze)
-        store.insert_rejects([normalize.rejected(batch)], name)
-        sums = rows.groupBy(*DAILY_KEYS).agg(F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("record_count"))
-        by_batch(sums, name).parquet(f"{bronze}-daily")
-        stored = T.StructType([*sums.schema.fields, T.StructField("batch_id", T.StringType())])
-        seen = spark.read.schema(stored).parquet(f"{bronze}-daily").where(F.col("batch_id") <= name)
-        touched = stage(seen.where(F.col("batch_id") == name).select("service_category").distinct(), "touched")
-        if touched.isEmpty():
-            return
-        history = seen.join(touched, "service_category", "left_semi")
-        total, n = F.sum("cost"), F.sum("record_count")
-        daily = stage(
-            history.groupBy(*DAILY_KEYS).agg(
-                total.cast("double").alias("total_cost"), F.try_divide(total.cast("double"), n.cast("double")).alias("avg_cost"), n.alias("record_count")
-            ),
-            "daily",
-        )
-        verdicts = pipeline.decide(pipeline.judge(pipeline.complete_features(daily, closed), closed), decisions.LIVE_POLICY, closed)
-        store.insert_anomalies(stage(store.changed(verdicts, "anomaly_logs", name), "changed"), name)
-        ahead = forecast.seasonal_forecast(stage(rollup.totals(daily), "service-totals"), closed=closed)
-        store.insert_forecasts(pipeline.forecast_contract(ahead), name)
+        sums = stage(rows.groupBy(*DAILY_KEYS).agg(F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("record_count")), "sums")
+        turned_away, stored = [normalize.rejected(raw)], 0
+        if not sums.isEmpty():
+            refused, stored = judged_again(sums, name)
+            turned_away += refused
+        store.insert_rejects(turned_away, name)
+        counts = raw.agg(F.count(F.lit(1)).alias("arrived"), F.count_if(normalize.reject_reason(raw).isNull()).alias("kept"))
+        counts = counts.withColumn("rejected", F.col("arrived") - F.col("kept")).withColumn("verdicts", F.lit(stored).cast("long"))
+        store.insert(counts, "live_batches", name)
+
+    def judged_again(sums: DataFrame, name: str) -> tuple[list[DataFrame], int]:
+        rows, totals, found, services, known = advance(state, sums, name)
+        rows = features.min_history(rows, pipeline.MIN_ROWS, closed=closed)
+        verdicts = pipeline.decide(pipeline.judge_scored(rows, closed), decisions.LIVE_POLICY, closed)
+        fresh = stage(to_contract(verdicts, "anomaly_logs"), "verdicts")
+        old = state.read("verdicts", fresh.schema, found)
+        values = [F.col(f.name) for f in fresh.schema.fields if f.name not in ("id", "created_at")]
+        stored = old.select(F.col("id").alias("_id"), F.struct(*values).alias("_stored"))
+        changed = fresh.withColumn("_row", F.struct(*values)).join(stored, F.expr("id = _id AND _row <=> _stored"), "left_anti").drop("_row")
+        changed = stage(changed, "changed")
+        state.write("verdicts", of_keys(old, services, ["service_category"], "left_anti").unionByName(fresh), name)
+        refused = [store.insert_anomalies(changed, name)]
+        ahead = stage(forecast.seasonal_forecast(totals, closed=closed), "ahead")
+        refused.append(store.insert_forecasts(pipeline.forecast_contract(ahead), name))
+        state.commit(name, [r.bucket for r in services.select("bucket").distinct().collect()], known)
+        return refused, changed.count()
 
     return step
 
