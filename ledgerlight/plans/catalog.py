@@ -845,3 +845,10 @@ def tuned_run(spark, sf_dir):
 def stream_daily_totals(spark, sf_dir):
     """Events read as a stream, counted per day and type by a watermarked window."""
     return present(live.replay_daily_totals(spark, sf_dir), ["date", "service_category"], ["total_cost"], ["record_count"], 2)
+
+
+@register
+def live_replay_anomalies(spark, sf_dir):
+    """The billing rows through the live run in two batches, the second full of late rows: the z-score detector's anomalies in its state."""
+    rows = live.replay_billing(spark, sf_dir).where("zscore_flag = 1")
+    return present(rows, KEY, ["total_cost", "zscore", "residual_z"], ["zscore_severity"])

@@ -369,10 +369,13 @@ SELECT DISTINCT severity_label, date, {rs('total_cost', 2)} FROM decided a JOIN
 SELECT {KEY}, zscore_flag, if_flag, lstm_flag, CAST(vote_count AS INTEGER) AS vote_count, final_anomaly, CAST(severity_score AS DOUBLE) AS severity_score, severity_label FROM voted""")
     q["service_costs"] = query("decided", f"""
 SELECT service_category, {r('sum(cost_usd)', 2)} AS total_cost, {r('coalesce(sum(cost_usd) FILTER (WHERE is_anomaly = 1), 0)', 2)} AS anomaly_cost FROM decided GROUP BY 1""")
-    q["anomaly_semi_features"] = query("feats complete", f"""
-SELECT {KEY}, {rs('total_cost zscore')} FROM feats SEMI JOIN complete USING (service_category, date, provider, team, environment) WHERE zscore > 1.5""")
+    q["anomaly_semi_features"] = query("complete", f"""
+SELECT {KEY}, {rs('total_cost zscore')} FROM complete WHERE zscore > 1.5""")
     pairs = (("cost_lag_1", "Previous day cost pattern"), ("cost_lag_7", "Weekly cost pattern deviation"), ("rolling_mean_7", "Weekly average baseline shift"),
              ("rolling_std_7", "Cost volatility increase"), ("rolling_mean_30", "rolling_mean_30"))
+    q["live_replay_anomalies"] = query("dz", f"""
+SELECT {KEY}, {rs('total_cost zscore residual_z')}, {ZBINS} AS zscore_severity FROM dz
+WHERE residual_z > 2.5 AND service_category IN (SELECT service_category FROM dz GROUP BY 1 HAVING count(*) >= 30)""")
     q["root_cause_topk"] = query("complete", f"""
 SELECT {KEY}, root_cause, {rs('shap_value abs_impact')}, CAST(k AS INTEGER) AS cause_rank FROM
 (SELECT *, abs(shap_value) AS abs_impact, row_number() OVER (PARTITION BY {KEY} ORDER BY abs(shap_value) DESC, feature) AS k FROM

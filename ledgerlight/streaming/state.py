@@ -68,6 +68,12 @@ class LiveState:
         wanted = reduce(lambda a, b: a | b, [(F.col("batch_id") == v) & (F.col("bucket") == b) for b, v in sorted(versions.items())])
         return self.spark.read.schema(stored).parquet(self.path(table)).where(wanted).drop("batch_id", "bucket")
 
+    def current(self, table: str) -> DataFrame:
+        """All rows of a table as they are after the last batch."""
+        versions = {b: v for b, (v, _) in self.before("~").items()}
+        fields = [f for f in self.spark.read.parquet(self.path(table)).schema.fields if f.name not in ("batch_id", "bucket")]
+        return self.read(table, T.StructType(fields), versions)
+
     def write(self, table: str, rows: DataFrame, name: str) -> None:
         placed = rows.withColumn("batch_id", F.lit(name)).withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -106,6 +112,12 @@ def service_moments(moments: DataFrame) -> DataFrame:
     return moments.join(whole, "service_category").groupBy("service_category", "_avg").agg(F.sqrt(F.sum(F.col("m2") + apart) / F.sum("n")).alias("_std"))
 
 
+def with_service_zscore(scored: DataFrame, moments: DataFrame) -> DataFrame:
+    """Absolute z-score of each row against its service, from the moments alone; rows without one are incomplete."""
+    z = F.abs(F.try_divide(F.col("total_cost") - F.col("_avg"), F.col("_std")))
+    return scored.join(service_moments(moments), "service_category").withColumn("zscore", z).where("zscore IS NOT NULL").drop("_avg", "_std")
+
+
 def advance(state: LiveState, sums: DataFrame, name: str) -> tuple[DataFrame, DataFrame, dict[int, str], DataFrame, dict[int, tuple[str, str | None]]]:
     """Merge a batch's daily sums into the state.
 
@@ -138,8 +150,6 @@ def advance(state: LiveState, sums: DataFrame, name: str) -> tuple[DataFrame, Da
     totals = stage(totals.agg(F.sum("cost").cast(sums.schema["cost"].dataType).alias("cost")), "service-totals")
     state.write("totals", totals, name)
 
-    rows = of_keys(scored, services, ["service_category"]).join(service_moments(moments), "service_category")
-    z = F.abs(F.try_divide(F.col("total_cost") - F.col("_avg"), F.col("_std")))
-    rows = rows.withColumn("zscore", z).where("zscore IS NOT NULL").drop("_avg", "_std")
+    rows = with_service_zscore(of_keys(scored, services, ["service_category"]), moments)
     ahead = of_keys(totals, services, ["service_category"]).withColumn("total_cost", F.col("cost").cast("double")).drop("cost")
     return rows, ahead, found, services, known

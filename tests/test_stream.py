@@ -1,6 +1,7 @@
 """Streams against their batch twins, with late and repeated rows."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import decisions, features
 from ledgerlight.plans import pipeline
+from ledgerlight.schemas import BILLING
+from ledgerlight.session import shared_dir
 from ledgerlight.sources.billing import usage_events
 from ledgerlight.sources.store import ResultStore
 from ledgerlight.streaming import live
+from ledgerlight.streaming.state import LiveState, as_daily, service_moments
 
 RNG = np.random.default_rng(5)
 SCHEMA = "event_id long, ts timestamp, service_category string, cost_usd double"
@@ -169,3 +173,49 @@ def test_append_stream_continues_from_its_checkpoint(spark, bills, tmp_path):
         part.coalesce(1).write.parquet(str(src / f"f{i}"))
         drain(live.append_stream(live.arriving_rows(spark, str(src / "*"), part.schema), out, cp, interval=None))
     assert spark.read.parquet(out).count() == 4
+
+
+def test_state_grows_with_services_not_batches(spark, bills, tmp_path, day):
+    """A batch reads and writes the buckets of its services only, old versions go, and no staged folder stays."""
+    bronze, root = str(tmp_path / "bronze"), str(tmp_path / "results")
+    step, store, state = live.live_batch(spark, bronze, root), ResultStore(spark, root), LiveState(spark, f"{bronze}-state")
+    store.create_tables()
+    shared = Path(shared_dir(spark)) / "ledgerlight"
+    staged = lambda: {p.name for p in shared.glob("*/*")}
+    before = staged()
+    step(bills(0, 60, (50,)), 0)
+    for i in range(1, 4):
+        step(bills(59 + i, 60 + i, ()).where("service_category = 'compute'"), i)
+    assert staged() == before
+    known = state.before("~")
+    assert sorted(known.values()) == [("000000000000", None), ("000000000003", "000000000002")]
+    folders = {p.name for t in ("days", "scored", "verdicts") for p in (tmp_path / "bronze-state" / t).glob("batch_id=*/bucket=*")}
+    assert len(folders) == 2 and len(list((tmp_path / "bronze-state" / "days").glob("batch_id=*/bucket=*"))) == 3
+    compute = [b for b, (v, _) in known.items() if v == "000000000003"]
+    read = state.read("days", state.current("days").schema, {b: known[b][0] for b in compute})
+    assert all(f"batch_id=000000000003/bucket={compute[0]}" in f for f in read.inputFiles()) or "PartitionFilters" in read._jdf.queryExecution().toString()
+    assert read.count() == 63 and state.current("days").count() == 123
+    counts = {r.batch_id: (r.arrived, r.kept, r.rejected) for r in store.read("live_batches").where("batch_id <> 'none'").collect()}
+    assert counts == {"000000000000": (120, 120, 0)} | {f"{i:012d}": (1, 1, 0) for i in (1, 2, 3)}
+    moments = service_moments(state.current("moments")).orderBy("service_category").toPandas()
+    plain = as_daily(state.current("days")).groupBy("service_category").agg(F.avg("total_cost").alias("a"), F.stddev_pop("total_cost").alias("s")).orderBy("service_category").toPandas()
+    np.testing.assert_allclose(moments[["_avg", "_std"]].astype(float), plain[["a", "s"]].astype(float), rtol=1e-10)
+
+
+def test_live_csv_keeps_rejects(spark, tmp_path):
+    """A cost that is no number, a short line and an unreadable day are rejects of the live run, not zeros."""
+    src = tmp_path / "in"
+    src.mkdir()
+    head = "date,provider,service,team,environment,resource_id,cost_usd,usage_quantity,usage_unit,region,is_anomaly"
+    rest = "AWS,compute,data,prod,r1"
+    lines = [head, f"2024-01-01,{rest},5.0,1,h,us,0", f"2024-01-02,{rest},abc,1,h,us,0", f"2024-01-03,{rest}", f"someday,{rest},7.0,1,h,us,0", f"2024-01-04,{rest},9.0,1,h,us,0"]
+    (src / "a.csv").write_text("\n".join(lines) + "\n")
+    bronze, root = str(tmp_path / "bronze"), str(tmp_path / "results")
+    store = ResultStore(spark, root)
+    store.create_tables()
+    drain(live.run_live(live.arriving_rows(spark, str(src), BILLING, "csv"), bronze, root, str(tmp_path / "cp"), interval=None))
+    reasons = sorted(r.reason for r in store.read("rejects").where("batch_id <> 'none'").collect())
+    assert reasons == ["date is unreadable", "line is malformed", "line is malformed"]
+    assert sorted(r.cost_usd for r in spark.read.parquet(bronze).collect()) == [5, 9]
+    counts = store.read("live_batches").where("batch_id <> 'none'").first()
+    assert (counts.arrived, counts.kept, counts.rejected) == (5, 2, 3)
