@@ -17,6 +17,10 @@ whole:
   several components go on, with further pivots or, where that is cheaper, all
   products across components. A group of copies so costs products in
   proportion to its size, and no link between components is lost.
+* An entry's place in its row bounds the overlap of all pairs that first meet
+  there, by what is left of either row. Products beyond the bound are not
+  formed: a passage that many rows share stands late in all rows that are not
+  made of it, and makes no pairs there.
 
 Which columns are common is found per task over all documents; the table of
 them is bounded (``COMMON``) and affects the order, and so the work, only.
@@ -154,9 +158,10 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
                         row, shingle, rank = row[by], shingle[by], rank[by]
                 counts = np.where(new, rows.counts, 0)
                 begins = np.cumsum(counts) - counts
-                first = np.arange(len(row)) - begins[row] < (counts - least_overlap(counts, num, den) + 1)[row]
+                place = np.arange(len(row)) - begins[row]
+                first = place < (counts - least_overlap(counts, num, den) + 1)[row]
                 row, shingle, rank = row[first], shingle[first], rank[first]
-                found.append((shingle, rank > 0, rows.classes[row], counts[row]))
+                found.append((shingle, rank > 0, rows.classes[row], counts[row], place[first].astype(np.uint32)))
                 held += len(row)
                 if held >= TILE_ENTRIES:
                     yield from packed(found)
@@ -165,7 +170,7 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
             yield from packed(found)
 
     def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        shingle, is_common, cls, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        shingle, is_common, cls, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
         block = (shingle % U64(n_blocks)).astype(np.int64)
         block = np.where(is_common, -1 - (wordbytes.mix64(cls) % U64(n_blocks)).astype(np.int64), block)
         by = np.argsort(block, kind="stable")
@@ -174,38 +179,39 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
             sizes = np.zeros(len(classes), np.uint32)
             sizes[index] = n[part]
             index = index.astype(np.uint16 if len(classes) <= 1 << 16 else np.uint32)
-            row = [pa.array([x.tobytes()], pa.binary()) for x in (shingle[part], index, classes, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]]), *row], ["block", "shingles", "index", "classes", "sizes"])
+            row = [pa.array([x.tobytes()], pa.binary()) for x in (shingle[part], index, classes, sizes, place[part])]
+            yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]]), *row], ["block", "shingles", "index", "classes", "sizes", "places"])
 
-    return docs.select("text").mapInArrow(scan, "block long, shingles binary, index binary, classes binary, sizes binary")
+    return docs.select("text").mapInArrow(scan, "block long, shingles binary, index binary, classes binary, sizes binary, places binary")
 
 
 def shared_entries(tiled: DataFrame, num: int, den: int) -> DataFrame:
-    """(shingle, class, n): the entries of columns that two or more classes of compatible sizes share."""
+    """(shingle, class, n, place): the entries of columns that two or more classes of compatible sizes share."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        shingle, cls, n = [], [], []
-        for row in table.select(["shingles", "index", "classes", "sizes"]).to_pylist():
+        shingle, cls, n, place = [], [], [], []
+        for row in table.select(["shingles", "index", "classes", "sizes", "places"]).to_pylist():
             classes = np.frombuffer(row["classes"], U64)
             index = np.frombuffer(row["index"], np.uint16 if len(classes) <= 1 << 16 else np.uint32)
             shingle.append(np.frombuffer(row["shingles"], U64))
             cls.append(classes[index])
             n.append(np.frombuffer(row["sizes"], np.uint32)[index].astype(np.int64))
-        shingle, cls, n = np.concatenate(shingle), np.concatenate(cls), np.concatenate(n)
+            place.append(np.frombuffer(row["places"], np.uint32))
+        shingle, cls, n, place = (np.concatenate(x) for x in (shingle, cls, n, place))
         by = np.lexsort((cls, n, shingle))
-        shingle, cls, n = shingle[by], cls[by], n[by]
+        shingle, cls, n, place = shingle[by], cls[by], n[by], place[by]
         once = np.ones(len(by), bool)
         once[1:] = (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])
-        shingle, cls, n = shingle[once], cls[once], n[once]
+        shingle, cls, n, place = shingle[once], cls[once], n[once], place[once]
         if key[0].as_py() >= 0:
             # In order of size, an entry has a partner in its column if one of its neighbours is one.
             fits = np.zeros(len(shingle) + 1, bool)
             fits[1:-1] = (shingle[1:] == shingle[:-1]) & (n[:-1] * den >= n[1:] * num)
             shared = fits[:-1] | fits[1:]
-            shingle, cls, n = shingle[shared], cls[shared], n[shared]
-        return pa.table([pa.array(shingle.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n)], ["shingle", "class", "n"])
+            shingle, cls, n, place = shingle[shared], cls[shared], n[shared], place[shared]
+        return pa.table([pa.array(shingle.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n), pa.array(place.astype(np.int32))], ["shingle", "class", "n", "place"])
 
-    return tiled.groupBy("block").applyInArrow(merge, "shingle long, class long, n long")
+    return tiled.groupBy("block").applyInArrow(merge, "shingle long, class long, n long, place int")
 
 
 def class_rows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -298,14 +304,12 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     before, turn = float("inf"), 0
     open_ = q.withColumn("component", F.col("class"))
     while True:
-        if turn == 0:
-            counts = q.groupBy("shingle").agg(F.count("*").alias("m")).withColumn("within", F.col("m"))
-        else:
-            counts = open_.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-            counts = counts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
-            counts = stage(counts.where("parts > 1"), "open-columns")
-            open_ = open_.join(counts.select("shingle"), "shingle", "left_semi")
-        size, across = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()
+        # Of a pair that links, the smaller row has an early entry in the first column they share.
+        counts = open_.groupBy("shingle", "component").agg(F.count("*").alias("m"), F.count_if(early(num, den)).alias("e"))
+        counts = counts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("e").alias("e"), F.sum(F.col("m") * F.col("e")).alias("within"))
+        counts = stage(counts.where("parts > 1 AND e > 0"), "open-columns")
+        open_ = open_.join(counts.select("shingle"), "shingle", "left_semi")
+        size, across = counts.agg(F.sum("m"), F.sum(F.col("m") * F.col("e") - F.col("within"))).first()
         if not size:
             break
         # Pivots go on while they settle columns; what they leave is multiplied out.
@@ -334,34 +338,41 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
 
 
 def with_pivots(entries: DataFrame, q: DataFrame, turn: int, fits, num: int, den: int) -> DataFrame:
-    """Pairs of each row with its columns' pivots: at first the row of the most shared entries, later any.
-
-    The overlap is counted in the columns of that pivot only, so a pair that
-    links may be left to the products across components.
-    """
+    """Pairs of each row with its columns' pivots that may reach the bound: at first the row of the most shared entries, later any."""
     if turn == 0:
         ranked = entries.join(q.groupBy("class").agg((-F.count("*")).alias("by")), "class")
     else:
         ranked = entries.withColumn("by", F.xxhash64("class", F.lit(turn)))
-    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("by", "class", "n", "component")).alias("p"))
-    pairs = entries.join(pivots, "shingle").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("p.n")))
-    counted = pairs.groupBy(F.col("class").alias("a"), F.col("p.class").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
+    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("by", "class", "n", "place", "component")).alias("p"))
+    pivots = pivots.select("shingle", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("class", "n", "place", "component")])
+    both = entries.join(pivots, "shingle").where((F.col("component") != F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
+    both = both.where(F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least_common(F.col("n"), F.col("n_b"), num, den))
+    return both.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def early(num: int, den: int):
+    """Entries that a row can share first with one of its size or larger: their overlap is 2t/(1+t) of the row at least."""
+    return F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den))
 
 
 def across_components(entries: DataFrame, fits, num: int, den: int) -> DataFrame:
-    """Pairs of classes in different components whose overlap in the dealt columns reaches the size-derived bound."""
-    side = lambda s: entries.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "component")])
-    both = side("a").join(side("b"), "shingle")
-    both = both.where((F.col("class_a") > F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")))
-    counted = both.groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= least_shared(num, den)).select("a", "b")
-
-
-def least_shared(num: int, den: int):
-    """What rows that link share among the dealt entries: of the row whose entries end first, at most n - overlap are not shared."""
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
-    return overlap + 1 - F.ceil(F.greatest("n_a", "n_b") * num / den)
+    """Pairs of classes in different components that may reach the size-derived bound.
+
+    All entries that two rows share stand at or after the first of them, so
+    the overlap is at most what is left of either row there. Columns that a
+    row only reaches late so make no pairs, however common they are.
+    """
+    side = lambda rows, s: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "place", "component")])
+    both = side(entries.where(early(num, den)), "a").join(side(entries, "b"), "shingle")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    both = both.where(smaller & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & (left >= least_common(F.col("n_a"), F.col("n_b"), num, den)))
+    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def least_common(n_a, n_b, num: int, den: int):
+    """The least overlap of rows that link."""
+    return F.ceil((n_a + n_b) * num / (num + den))
 
 
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
