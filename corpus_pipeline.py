@@ -8,31 +8,55 @@ of the store. Each stage reads what its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlight.llm import jaccard_join, mixing, pu_toxicity, suffix_decontam, token_store
 from ledgerlight.llm.queries import TOKENIZER, table
-from ledgerlight.session import stage, stage_path
+from ledgerlight.session import collected_stages, remove, stage, stage_path
+
+_staged: list[str] = []
+
+
+def alone(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage removes what the one before it staged: that one's result has been written by then."""
+
+    @wraps(step)
+    def run_alone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _staged)
+        _staged.clear()
+        with collected_stages(_staged):
+            return step(spark, docs, sf_dir)
+
+    return run_alone
 
 
+@alone
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pu_toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@alone
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_of_each(docs)
 
 
+@alone
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@alone
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@alone
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "tokens")
+    _staged.append(path)
     token_store.write_store(docs, path, TOKENIZER, end_id=1)
     return token_store.stored_documents(docs, path).drop("by_key")
 
@@ -50,6 +74,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    written: list[str] = []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before = list(written)
+        with collected_stages(written):
+            docs = stage(step(spark, docs, sf_dir), name)
+        remove(spark, before)
+    remove(spark, _staged)
+    _staged.clear()
     return docs
