@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import parse_date
 from ..operators import (
-    attribution, decisions, evaluation, features, forecast, forest, gesd, kernel, normalize, reconstruct, reports,
+    attribution, autoencoder, decisions, evaluation, features, forecast, forest, gesd, kernel, normalize, reconstruct, reports,
     rollup, scenario, segments, tuning, vote, zscore,
 )
 from ..schemas import MALFORMED
@@ -587,6 +587,13 @@ def window_reconstruction_multi(spark, sf_dir):
     return present(rows, SEGMENT_KEY, ["lstm_score"], ["is_train", "is_anomaly"])
 
 
+@register
+def sequence_autoencoder(spark, sf_dir):
+    """Recurrent autoencoders over weekly windows, all services trained together."""
+    rows = autoencoder.sequence_autoencoder(frames.staged_features(spark, sf_dir), closed=CLOSED)
+    return present(rows, KEY, ["total_cost", "lstm_error"], ["lstm_flag"])
+
+
 @register
 def isolation_forest_split(spark, sf_dir):
     """Forest scores of segment rows, fitted on the training part only."""
