@@ -27,14 +27,16 @@ CRLF = "\r\n"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>"
-LINK = r"(?is)<a\s[^>]*?href=\"([^\"]*)\""
+LINK = r"(?is)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+QUOTES = r"^[\"']|[\"']$"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 
 
 def record_id(*parts: Column) -> Column:
     """A urn:uuid from the md5 of the parts."""
     text = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
-    return F.regexp_replace(text, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+    pieces = [F.substring(text, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
 
 
 def digest(text: Column) -> Column:
@@ -42,14 +44,16 @@ def digest(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """Named and decimal character references as characters."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,6});"), F.lit(1)))
-    valid = F.filter(codes, lambda c: (c.cast("int") < 0xD800) & (c.cast("int") > 0) & (c.cast("int") != 38))
-    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32")
+    """Named, decimal and hexadecimal character references as characters; most texts have none."""
+    plain = text
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"), F.lit(1)))
+    number = lambda c: F.when(F.lower(F.left(c, F.lit(1))) == "x", F.conv(F.substring(c, 2, 5), 16, 10)).otherwise(c).cast("int")
+    valid = F.filter(codes, lambda c: (number(c) < 0xD800) & (number(c) > 0) & (number(c) != 38))
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(number(c).cast("long")), 8, "0")), "UTF-32")
     text = F.when(F.size(valid) > 0, F.aggregate(valid, text, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), char(c)))).otherwise(text)
     for name, value in NAMED:
         text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    return F.when(F.contains(plain, F.lit("&")), text).otherwise(plain)
 
 
 def plain_text(html: Column) -> Column:
@@ -75,7 +79,7 @@ def fields(html: Column, headers: Column, text: Column, payload_digest: Column)
     """The block of a metadata record, one ``name: value`` a line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     title = F.regexp_replace(unescaped(F.regexp_extract(html, TITLE, 1)), r"\s+", " ")
-    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: line("outlink", unescaped(x)))
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: line("outlink", unescaped(F.regexp_replace(x, QUOTES, ""))))
     return F.concat(
         line("title", title), line("http-status", F.regexp_extract(headers, r"^HTTP/[0-9.]+ ([0-9]{3})", 1)),
         line("http-content-type", F.regexp_extract(headers, r"(?i)\ncontent-type: ([^\r\n]*)", 1)), line("source-payload-digest", payload_digest),
@@ -128,7 +132,10 @@ def oracle_sql() -> str:
     text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
     title = f"regexp_replace({_unescaped_sql(f"regexp_extract(payload, '{TITLE}', 1)")}, '\\s+', ' ', 'g')"
-    links = f"array_to_string(list_transform(regexp_extract_all(payload, '{LINK.replace(chr(92) + chr(34), chr(34))}', 1), lambda x: 'outlink: ' || {_unescaped_sql('x')} || {crlf}), '')"
+    # Attribute values in double quotes, in single quotes, or bare.
+    href = """(?is)<a[[:space:]][^>]*?href[[:space:]]*=[[:space:]]*("[^"]*"|''[^'']*''|[^[:space:]"''>]+)"""
+    value = "CASE WHEN left(x, 1) IN (chr(34), chr(39)) THEN substr(x, 2, length(x) - 2) ELSE x END"
+    links = f"array_to_string(list_transform(regexp_extract_all(payload, '{href}', 1), lambda x: 'outlink: ' || {_unescaped_sql(value)} || {crlf}), '')"
     return f"""
 WITH responses AS (
   SELECT page_id, {uuid("'response|' || coalesce(page_id::VARCHAR, 'null') || '|' || coalesce(url, 'null')")} AS response_id, url AS target_uri,

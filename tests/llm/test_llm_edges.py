@@ -171,6 +171,15 @@ def test_warc(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_link_forms_and_references(spark):
+    """Values in double quotes, single quotes or bare; decimal, hexadecimal and named references."""
+    html = """<a class=c href='/x?a=1&amp;b'>1</a> <A HREF=/y>2</A> <a href = "/z">3</a><p>&#x27;q&#X41;&#66;&#xD800;&lt; a & b</p>"""
+    rows = warc.derive(warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    meta, text = (next(r.block for r in rows if r.warc_type == k) for k in ("metadata", "conversion"))
+    assert [x[9:] for x in meta.split("\r\n") if x.startswith("outlink: ")] == ["/x?a=1&b", "/y", "/z"]
+    assert text == "1 2 3\n'qAB&#xD800;< a & b"
+
+
 @pytest.mark.parametrize("name,step", corpus_pipeline.STAGES[:-1])
 def test_stages_keep_columns(spark, small, odd, nothing, name, step):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
