@@ -68,16 +68,19 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     """(text, positive) of the documents to learn from, and the share of confirmed ones among labelled rows.
 
     Rows that are held out are in neither sample. Both samples are bounded, so
-    their ids may be broadcast.
+    their ids may be broadcast: an id counts once however many rows it has, and
+    of several texts of an id the one of the least hash is taken.
     """
     usable = ~held_out(F.col("doc_id"))
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     order = [F.xxhash64("doc_id", F.lit("pu")), F.col("doc_id")]
     positive = known.where("toxic = 1").select("doc_id").orderBy(*order).limit(MOST_POSITIVE)
-    unlabelled = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(MOST_UNLABELLED)
+    unlabelled = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(MOST_UNLABELLED)
     ids = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive"), float(prior)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return rows.groupBy("doc_id", "positive").agg(one).select("text", "positive"), float(prior)
 
 
 def sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -75,6 +75,13 @@ def test_toxicity(odd, nothing, labels):
     assert pu_toxicity.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_sample_with_a_repeated_id(spark, labels):
+    """An id on most rows is one document of either sample."""
+    docs = spark.createDataFrame([(9 if i % 3 else i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    rows, _ = pu_toxicity.sample(docs, labels)
+    assert sum(r.positive for r in rows.collect()) == 2 and rows.count() <= 2 + 101
+
+
 def test_decontamination(odd, nothing, bench):
     rows = suffix_decontam.contamination(odd, bench).collect()
     found = sorted((r.doc_id or -1, r.n_words, r.n_hit, tuple(r["items"])) for r in rows if r.n_hit)
