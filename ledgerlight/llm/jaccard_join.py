@@ -42,6 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
@@ -304,20 +305,16 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     before, turn = float("inf"), 0
     open_ = q.withColumn("component", F.col("class"))
     while True:
-        # Of a pair that links, the smaller row has an early entry in the first column they share.
-        counts = open_.groupBy("shingle", "component").agg(F.count("*").alias("m"), F.count_if(early(num, den)).alias("e"))
-        counts = counts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("e").alias("e"), F.sum(F.col("m") * F.col("e")).alias("within"))
-        counts = stage(counts.where("parts > 1 AND e > 0"), "open-columns")
-        open_ = open_.join(counts.select("shingle"), "shingle", "left_semi")
-        size, across = counts.agg(F.sum("m"), F.sum(F.col("m") * F.col("e") - F.col("within"))).first()
+        open_ = stage(open_columns(open_, turn, num, den), "open-entries")
+        size, across = open_.agg(F.count("*"), F.sum("products")).first()
         if not size:
             break
-        # Pivots go on while they settle columns; what they leave is multiplied out.
-        last = across <= PRODUCTS_PER_ENTRY * size or 2 * across > before
+        # Pivots come first and go on while they settle columns; what they leave is multiplied out.
+        last = turn > 0 and (across <= PRODUCTS_PER_ENTRY * size or 2 * across > before)
         if last:
             pairs = across_components(open_, fits, num, den)
         else:
-            pairs = with_pivots(open_, q, turn, fits, num, den)
+            pairs = with_pivots(open_, fits, num, den)
         pairs = stage(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if rows is not None:
@@ -329,25 +326,39 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             whole = stage(components(links), "components")
-            open_ = open_.drop("component").join(whole.select(F.col("node").alias("class"), "component"), "class", "left")
+            open_ = open_.select("shingle", "class", "n", "place").join(whole.select(F.col("node").alias("class"), "component"), "class", "left")
             open_ = open_.withColumn("component", F.coalesce("component", "class"))
         if last:
             break
-        open_ = stage(open_, "open-entries")
     return None if links is None else whole.select(F.col("node").alias("class"), "component")
 
 
-def with_pivots(entries: DataFrame, q: DataFrame, turn: int, fits, num: int, den: int) -> DataFrame:
-    """Pairs of each row with its columns' pivots that may reach the bound: at first the row of the most shared entries, later any."""
-    if turn == 0:
-        ranked = entries.join(q.groupBy("class").agg((-F.count("*")).alias("by")), "class")
-    else:
-        ranked = entries.withColumn("by", F.xxhash64("class", F.lit(turn)))
-    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("by", "class", "n", "place", "component")).alias("p"))
-    pivots = pivots.select("shingle", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("class", "n", "place", "component")])
-    both = entries.join(pivots, "shingle").where((F.col("component") != F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
-    both = both.where(F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least_common(F.col("n"), F.col("n_b"), num, den))
-    return both.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+def open_columns(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """The entries of columns that may still link two components, with the column's pivot row and how many products the entry stands for.
+
+    Of a pair that links, the smaller row has an early entry in the first
+    column they share. The pivot is at first the row that reaches the column
+    earliest, as it has the fewest entries of its own; later any. All windows
+    are dealt by column: one shuffle.
+    """
+    by = F.col("place").cast("long") if turn == 0 else F.xxhash64("class", F.lit(turn))
+    column, part = W.partitionBy("shingle"), W.partitionBy("shingle", "component")
+    dealt = entries.select("shingle", "class", "n", "place", "component").repartition("shingle")
+    rows = dealt.withColumn("early", early(num, den)).withColumns({
+        "several": F.min("component").over(column) != F.max("component").over(column), "any": F.max("early").over(column),
+        "m": F.count("*").over(column), "within": F.count("*").over(part),
+        "pivot": F.min(F.struct(by.alias("by"), "class", "n", "place", "component")).over(column),
+    }).where(F.col("several") & F.col("any"))
+    products = F.when(F.col("early"), F.col("m") - F.col("within")).otherwise(0).alias("products")
+    return rows.select("shingle", "class", "n", "place", "component", "pivot", products)
+
+
+def with_pivots(entries: DataFrame, fits, num: int, den: int) -> DataFrame:
+    """Pairs of each row with its columns' pivots that may reach the bound."""
+    n, of = F.col("n"), F.col("pivot.n")
+    left = F.least(n - F.col("place"), of - F.col("pivot.place"))
+    both = entries.where((F.col("component") != F.col("pivot.component")) & fits(n, of) & (left >= least_common(n, of, num, den)))
+    return both.select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct()
 
 
 def early(num: int, den: int):
