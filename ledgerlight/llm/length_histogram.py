@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.tokens import encoder, slices, text_bytes
+from ledgerlight.session import stage
 
 BLOCK = 1024
 
@@ -45,7 +46,8 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     docs_above, tokens_above: the suffix sums beyond it; truncated_total: the
     tokens left if every document is cut to it.
     """
-    rows = encoded_lengths(docs, tokenizer).withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    # Read twice below: without staging, every text would be encoded twice.
+    rows = stage(encoded_lengths(docs, tokenizer), "lengths").withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     behind = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
