@@ -197,10 +197,14 @@ def shards(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Shard]]:
         yield first, batch.num_rows, close()
 
 
-def judge(batch: pa.RecordBatch, blocks: list[Items], window: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(n_words, n_hit, names of the items found) of each row of the batch."""
+def judge(batch: pa.RecordBatch, blocks: list[Items], window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """(n_words, n_hit, names of the items found) of each row of the batch.
+
+    Equal windows of several items are one range of the suffix array: its
+    places are listed once, and the names joined to the rows that it reaches.
+    """
     n_words, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-    found: list[list[str]] = [[] for _ in range(batch.num_rows)]
+    found: list[set[str]] = [set() for _ in range(batch.num_rows)]
     for a, z, shard in shards(batch):
         n_words[a:z] = shard.counts
         change = np.zeros(len(shard.codes) + 1, np.int64)
@@ -208,14 +212,20 @@ def judge(batch: pa.RecordBatch, blocks: list[Items], window: int) -> tuple[np.n
             item, _, need = items.suffixes(window)
             _, _, lo, hi = shard.search(items, window)
             some = np.flatnonzero(hi > lo)
-            times = (hi - lo)[some]
-            slot = np.repeat(lo[some] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            place, width, which = shard.order[slot], np.repeat(need[some], times), np.repeat(item[some], times)
+            if not len(some):
+                continue
+            ranges, of = np.unique(np.stack([lo[some], hi[some], need[some]], axis=1), axis=0, return_inverse=True)
+            begin, times = ranges[:, 0], ranges[:, 1] - ranges[:, 0]
+            slot = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+            place, width, which = shard.order[slot], np.repeat(ranges[:, 2], times), np.repeat(np.arange(len(ranges)), times)
             np.add.at(change, place, 1)
             np.add.at(change, place + width, -1)
-            pairs = np.unique(shard.row_of(place) * len(items.names) + which)
-            for row, name in zip((pairs // len(items.names)).tolist(), (pairs % len(items.names)).tolist(), strict=True):
-                found[a + row].append(items.names[name])
+            named: list[set[str]] = [set() for _ in ranges]
+            for at, name in zip(of.ravel().tolist(), item[some].tolist(), strict=True):
+                named[at].add(items.names[name])
+            pairs = np.unique(shard.row_of(place) * len(ranges) + which)
+            for row, at in zip((pairs // len(ranges)).tolist(), (pairs % len(ranges)).tolist(), strict=True):
+                found[a + row] |= named[at]
         hit = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
         n_hit[a:z] = hit[shard.begins + shard.counts] - hit[shard.begins]
     return n_words, n_hit, found
@@ -229,7 +239,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         blocks = [b.value for b in sent]
         for batch in batches:
             n_words, n_hit, found = judge(batch, blocks, window)
-            items = pa.array([sorted(set(f)) for f in found], pa.list_(pa.string()))
+            items = pa.array([sorted(f) for f in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), items], ["doc_id", "n_words", "n_hit", "items"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
