@@ -413,12 +413,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int =
 
     A component without any doc_id keeps the document of the least text hash.
     Rows are told apart by doc_id and text, so a doc_id may repeat with other
-    texts; of rows equal in both, one stays, with shingles or without.
+    texts; of rows equal in both, one stays, with shingles or without: that
+    of the least hash of all its columns. Columns of any names pass through.
     """
     rows = stage(join(docs, width, num, den).select("doc_id", "text_hash", "kept"), "joined")
     dropped = stage(rows.where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct(), "dropped")
-    kept = docs.withColumns({"jaccard_id": F.col("doc_id").cast("long"), "jaccard_hash": F.xxhash64("text")})
-    kept = kept.join(dropped, F.expr("jaccard_id <=> dropped_id AND jaccard_hash = dropped_hash"), "left_anti")
+    whole = docs.select(F.struct("*").alias("doc"))
+    doc_id, text_hash = F.col("doc.doc_id").cast("long"), F.xxhash64("doc.text")
+    kept = whole.join(dropped, doc_id.eqNullSafe(F.col("dropped_id")) & (text_hash == F.col("dropped_hash")), "left_anti")
     if not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["jaccard_id", "jaccard_hash"])
-    return kept.select(docs.columns)
+        same = W.partitionBy(doc_id, text_hash).orderBy(F.xxhash64(F.to_json("doc")))
+        kept = kept.withColumn("place", F.row_number().over(same)).where("place = 1")
+    return kept.select("doc.*")
