@@ -26,9 +26,8 @@ CRLF = "\r\n"
 # Elements that end a line of text, and named characters (the ampersand last).
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|!doctype[^>]*>)"
 LINK = r"(?is)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-QUOTES = r"^[\"']|[\"']$"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 
 
@@ -50,19 +49,23 @@ def unescaped(text: Column) -> Column:
     number = lambda c: F.when(F.lower(F.left(c, F.lit(1))) == "x", F.conv(F.substring(c, 2, 5), 16, 10)).otherwise(c).cast("int")
     valid = F.filter(codes, lambda c: (number(c) < 0xD800) & (number(c) > 0) & (number(c) != 38))
     char = lambda c: F.decode(F.unhex(F.lpad(F.hex(number(c).cast("long")), 8, "0")), "UTF-32")
-    text = F.when(F.size(valid) > 0, F.aggregate(valid, text, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), char(c)))).otherwise(text)
+    text = F.when(F.contains(plain, F.lit("&#")), F.aggregate(valid, text, lambda acc, c: F.replace(acc, F.concat(F.lit("&#"), c, F.lit(";")), char(c)))).otherwise(text)
     for name, value in NAMED:
         text = F.replace(text, F.lit(name), F.lit(value))
     return F.when(F.contains(plain, F.lit("&")), text).otherwise(plain)
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags; one line per block; no blank lines."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+def without_tags(html: Column) -> Column:
+    """The text of a page without scripts, styles, comments or tags, one line per block."""
+    text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    text = unescaped(F.regexp_replace(text, r"<[/a-zA-Z][^>]*>", ""))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(text, r"<[/a-zA-Z][^>]*>", "")
+
+
+def tidy(text: Column) -> Column:
+    """Runs of space as one, a single space being left alone; no blank lines, no space at either end."""
+    text = F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -75,11 +78,15 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     )
 
 
+def unquoted(value: Column) -> Column:
+    return F.when(F.left(value, F.lit(1)).isin('"', "'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def fields(html: Column, headers: Column, text: Column, payload_digest: Column) -> Column:
     """The block of a metadata record, one ``name: value`` a line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     title = F.regexp_replace(unescaped(F.regexp_extract(html, TITLE, 1)), r"\s+", " ")
-    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: line("outlink", unescaped(F.regexp_replace(x, QUOTES, ""))))
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: line("outlink", unescaped(unquoted(x))))
     return F.concat(
         line("title", title), line("http-status", F.regexp_extract(headers, r"^HTTP/[0-9.]+ ([0-9]{3})", 1)),
         line("http-content-type", F.regexp_extract(headers, r"(?i)\ncontent-type: ([^\r\n]*)", 1)), line("source-payload-digest", payload_digest),
@@ -94,7 +101,8 @@ def derive(source: DataFrame) -> DataFrame:
     content_length (bytes), block_digest, source_headers, source_digest, block.
     """
     html = F.coalesce("payload", F.lit(""))
-    rows = source.withColumn("payload", html).withColumn("text", plain_text(html))
+    # Columns of their own, since each is used several times: the text is taken out once.
+    rows = source.withColumn("payload", html).withColumn("bare", without_tags(F.col("payload"))).withColumn("text", tidy(unescaped(F.col("bare"))))
     block = fields(F.col("payload"), F.coalesce("http_headers", F.lit("")), F.col("text"), F.coalesce("payload_digest", F.lit("")))
     made = lambda kind, mime, body: F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), body.alias("block"))
     records = F.array(made("metadata", "application/warc-fields", block), made("conversion", "text/plain", F.col("text")))
