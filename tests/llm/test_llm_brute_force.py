@@ -225,7 +225,7 @@ def test_word_spans_and_hashes():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     cursor = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cursor.description]
