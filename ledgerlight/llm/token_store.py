@@ -12,8 +12,9 @@ a constant number of probes; a key that was never written fails the
 fingerprint.
 
 How it scales: texts are dealt by ranges of doc_id once and encoded where they
-land, so payloads are never shuffled. The index is built from (key, shard,
-offset, length) rows in buckets of about ``BUCKET_KEYS`` keys.
+land, so texts are shuffled once. The index is built from (key, shard, offset,
+length) rows in buckets of about ``BUCKET_KEYS`` keys. Readers bring the
+index's answers and the shards (about 4 million ids each) together by shard.
 
 Cases: a null text is an empty one and has only the end id; a null doc_id is
 written (first in order) but is no key; of repeated doc_ids the index has the
@@ -37,7 +38,7 @@ from ledgerlight.llm.tokens import encoder, slices, text_bytes
 SHARD_TOKENS = 4_000_000
 BUCKET_KEYS = 32_768
 U64 = np.uint64
-PAYLOAD = "shard long, n_docs long, n_tokens long, width int, ids binary, keys binary, nulls binary, lengths binary"
+PAYLOAD = "shard long, n_docs long, n_tokens long, last_key long, width int, ids binary, keys binary, nulls binary, lengths binary"
 ENTRY = "doc_id long, shard long, start_in_shard long, n_tokens long"
 BUCKET = "bucket long, n_keys long, sizes binary, bits binary, ranks binary, fingerprints binary, shards binary, offsets binary, lengths binary"
 
@@ -98,7 +99,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys ^ U64(0xD6E8FEB86659FD93)) >> U64(32)).astype("<u4")
 
 
-def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
@@ -108,13 +109,13 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
         def shard() -> pa.RecordBatch:
             nulls = np.array([k is None for k in keys], np.uint8)
             row = {
-                "shard": number, "n_docs": len(keys), "n_tokens": size // width, "width": width, "ids": b"".join(ids),
+                "shard": number, "n_docs": len(keys), "n_tokens": size // width, "last_key": keys[-1], "width": width, "ids": b"".join(ids),
                 "keys": np.array([k or 0 for k in keys], "<i8").tobytes(), "nulls": nulls.tobytes(),
                 "lengths": np.array([len(x) // width for x in ids], "<u4").tobytes(),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("ids", "keys", "nulls", "lengths")]])
+        schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("last_key", pa.int64()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("ids", "keys", "nulls", "lengths")]])
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
                 encoded = coder.encode(text_bytes(part.column("text")))
@@ -122,16 +123,18 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
                     keys.append(key)
                     ids.append(found + end)
                     size += len(ids[-1])
-                    if size >= SHARD_TOKENS * width:
+                    if size >= shard_tokens * width:
                         yield shard()
                         number, keys, ids, size = number + 1, [], [], 0
         if keys:
             yield shard()
         coder.forget()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    ranged.drop("tie").mapInArrow(pack, PAYLOAD).write.parquet(f"{path}/payload")
+    # The row number only parts rows equal in id and text, which any order serves: one such group may fill many ranges.
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.drop("tie", "row").mapInArrow(pack, PAYLOAD).write.parquet(f"{path}/payload")
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
@@ -182,9 +185,9 @@ def write_index(spark: SparkSession, path: str) -> None:
     rows.withColumn("n_buckets", F.lit(n_buckets).cast("long")).write.parquet(f"{path}/index")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every whole text, append ``end_id``, and write payload and index under ``path``."""
-    write_payload(docs, path, tokenizer, end_id)
+    write_payload(docs, path, tokenizer, end_id, shard_tokens)
     write_index(docs.sparkSession, path)
 
 
@@ -213,12 +216,16 @@ def lookup(keys: DataFrame, path: str) -> DataFrame:
     return asked.groupBy("bucket").cogroup(index.drop("n_buckets").groupBy("bucket")).applyInArrow(probe, ENTRY)
 
 
+def shard_ids(shard: pa.Table) -> np.ndarray:
+    """The ids of a shard as 32-bit integers."""
+    return np.frombuffer(shard.column("ids")[0].as_buffer(), f"<u{shard.column('width')[0].as_py()}").astype("<u4")
+
+
 def fetch(keys: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<long>) of each distinct key that the store has, read at its offset."""
 
     def cut(_: tuple, found: pa.Table, shard: pa.Table) -> pa.Table:
-        row = shard.to_pylist()[0]
-        ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int64)
+        ids = shard_ids(shard).astype(np.int64)
         starts, lengths = found.column("start_in_shard").to_numpy(), found.column("n_tokens").to_numpy()
         return pa.table([found.column("doc_id"), pa.array([ids[a : a + n] for a, n in zip(starts, lengths, strict=True)], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
@@ -227,35 +234,45 @@ def fetch(keys: DataFrame, path: str) -> DataFrame:
     return found.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(cut, "doc_id long, ids array<long>")
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Each document's place and unsigned crc32 of its ids as 32-bit integers, read from the shards."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, nulls, starts, lengths = documents_of(row)
-                ids = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")).cast("B")
-                crcs = np.array([zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=nulls), pa.array(np.full(len(keys), row["shard"])), pa.array(starts), pa.array(lengths), pa.array(crcs)],
-                    ["doc_id", "shard", "start_in_shard", "n_tokens", "ids_crc32"],
-                )
+def without_key(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, null flag, start and length of a shard's documents that are no keys: of null id, or after one of equal id.
 
-    return read_payload(spark, path).drop("n_docs", "n_tokens").mapInArrow(read, ENTRY + ", ids_crc32 long")
+    Documents are in order of id, so the one before a repeat is next to it, at a shard's beginning in the shard before.
+    """
+    keys, nulls, starts, lengths = documents_of(shard)
+    again = np.zeros(len(keys), bool)
+    again[1:] = (keys[1:] == keys[:-1]) & ~nulls[:-1]
+    again[:1] = shard["key_before"] is not None and not nulls[0] and keys[0] == shard["key_before"]
+    rest = nulls | again
+    return keys[rest], nulls[rest], starts[rest], lengths[rest]
 
 
 def stored_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Every document as read back: the index is asked for each key of ``docs``, the shards are read at its answers.
+    """Every document as read back: the index is asked for each key of ``docs``, the shards are cut at its answers.
 
-    doc_id, start (ids of all documents before it), n_tokens, ids_crc32,
-    by_key (the index leads to this row: all but null and later repeated ids).
+    doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of
+    its ids as 32-bit integers), by_key. Rows by key have place and length from
+    the index alone, so a key that the index loses is a row lost; documents
+    without a key (null ids, later ones of a repeated id) are read by the
+    shards' own lists.
     """
-    spark = docs.sparkSession
-    shards = read_payload(spark, path).select("shard", "n_tokens")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    found = lookup(docs, path).select("shard", "start_in_shard", F.col("doc_id").alias("key"), F.col("n_tokens").alias("key_tokens"))
-    rows = digests(spark, path).join(found, ["shard", "start_in_shard"], "left").join(bases, "shard")
-    by_key = F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("n_tokens") == F.col("key_tokens"))
-    return rows.select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", F.coalesce(by_key, F.lit(False)).alias("by_key"))
+    shards = read_payload(docs.sparkSession, path)
+    before = Window.orderBy("shard")
+    bases = shards.select(
+        "shard", F.coalesce(F.sum("n_tokens").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.lag("last_key").over(before).alias("key_before"),
+    )
+
+    def read(_: tuple, found: pa.Table, shard: pa.Table) -> pa.Table:
+        ids = memoryview(shard_ids(shard)).cast("B")
+        row = shard.drop_columns(["ids"]).to_pylist()[0]
+        keys, nulls, starts, lengths = without_key(row)
+        by_key = np.arange(found.num_rows + len(keys)) < found.num_rows
+        starts = np.concatenate([found.column("start_in_shard").to_numpy(), starts])
+        lengths = np.concatenate([found.column("n_tokens").to_numpy(), lengths])
+        crcs = np.array([zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
+        doc_ids = pa.concat_arrays([found.column("doc_id").combine_chunks(), pa.array(keys, pa.int64(), mask=nulls)])
+        return pa.table([doc_ids, pa.array(starts + row["base"]), pa.array(lengths), pa.array(crcs), pa.array(by_key)], ["doc_id", "start", "n_tokens", "ids_crc32", "by_key"])
+
+    payload = shards.drop("n_docs", "n_tokens", "last_key").join(bases, "shard")
+    return lookup(docs, path).groupBy("shard").cogroup(payload.groupBy("shard")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, by_key boolean")

@@ -44,6 +44,34 @@ def test_token_store_round_trip(spark, small, docs):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == stored(docs) and all(r.by_key for r in rows)
 
 
+@pytest.mark.parametrize("shard_tokens", [1, 3000])
+def test_store_is_read_through_its_index(spark, small, docs, tmp_path, shard_tokens):
+    """Many shards, texts beyond a shard, an id repeated over shards: fetch and rows by key give the ids of the library."""
+    texts = [(r["doc_id"], r["text"] or "") for r in docs[:60]] + [(docs[3]["doc_id"], f"again {i} " * 50) for i in range(40)] + [(None, "no key")] * 2
+    path, tokenizer = str(tmp_path / "s"), Tokenizer.from_file(queries.TOKENIZER)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    token_store.write_store(frame, path, queries.TOKENIZER, shard_tokens=shard_tokens)
+    want = collections.defaultdict(list)
+    for key, text in texts:
+        want[key].append(tokenizer.encode(text, add_special_tokens=False).ids + [1])
+    found = {r.doc_id: r.ids for r in token_store.fetch(frame, path).collect()}
+    assert found.keys() == want.keys() - {None} and all(ids in want[k] for k, ids in found.items())
+    rows = sorted(token_store.stored_documents(frame, path).collect(), key=lambda r: r.start)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in rows) == collections.Counter((k, crc(x)) for k, all_ids in want.items() for x in all_ids)
+    assert collections.Counter(r.doc_id for r in rows if r.by_key) == collections.Counter(found.keys())
+    assert all(crc(found[r.doc_id]) == r.ids_crc32 for r in rows if r.by_key)
+
+
+def test_a_key_the_index_loses_is_a_row_lost(spark, tmp_path):
+    path = str(tmp_path / "s")
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    token_store.write_store(frame, path, queries.TOKENIZER)
+    known = frame.where("doc_id < 40")
+    assert sorted(r.doc_id for r in token_store.stored_documents(known, path).collect()) == list(range(40))
+
+
 def test_token_counts(spark, small, docs):
     lengths = np.array([n - 1 for _, _, n, _ in stored(docs)])
     for r in collected(spark, small, "op1_token_counts"):
