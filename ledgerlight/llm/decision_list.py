@@ -3,10 +3,18 @@
 The base counts of a text are computed natively and staged once as narrow
 rows. Sequential covering learns from labelled rows: each rule grows one
 threshold condition at a time (the one that adds most information by FOIL's
-measure on the growing rows), is pruned from its end on the rows held back for
-that, and then takes the rows it covers out of the statistics. Every step is
-one grouped count of (feature, bin) over the labelled rows; only those counts
-reach the driver. The list becomes one ordered ``CASE`` expression.
+measure on the growing rows) until no condition adds any, is pruned from its
+end on the rows held back for that, and then takes the rows it covers out of
+the statistics; rules follow until the next one has no margin on the rows held
+back. The list becomes one ordered ``CASE`` expression.
+
+Thresholds are cells of a fixed grid, ``CELLS`` of equal width between a power
+of two and the next: relative steps below half a percent at every size of a
+value, so a rare tail has thresholds of its own. Every step is one grouped
+count of (feature, cell) over the labelled rows it covers. Only those counts
+reach the driver, and the grid bounds them: some ten thousand cells for values
+from 1e-6 to 1e6. They are whole numbers of fixed cells, so reruns and other
+partitions learn the same list.
 
 Cases: null and empty texts have no words and fail the base rule; unlabelled
 rows, rows of a null doc_id and labels without a document teach nothing; of
@@ -17,6 +25,7 @@ each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -27,10 +36,9 @@ from ledgerlight.session import stage
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BINS = 32
-MOST_RULES = 8
-MOST_CONDITIONS = 3
-LEAST_COVERED = 0.005  # of the labelled rows of the kind to find
+CELLS = 256
+LEAST_COVERED = 5  # growing rows of the kind to find: fewer are no evidence
+LEAST_MARGIN = 3  # held-back rows of that kind above those of the other
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share")
 
 
@@ -95,7 +103,7 @@ class Condition:
         return F.col(self.feature) >= self.threshold if self.above else F.col(self.feature) < self.threshold
 
     def __str__(self) -> str:
-        return f"{self.feature} {'>=' if self.above else '<'} {self.threshold:.6g}"
+        return f"{self.feature} {'>=' if self.above else '<'} {self.threshold!r}"
 
 
 @dataclass(frozen=True)
@@ -112,23 +120,24 @@ class Rule:
         return " AND ".join(map(str, self.conditions)) + " -> reject"
 
 
-def thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Cut points of each feature: quantiles of all labelled rows."""
-    shares = [i / BINS for i in range(1, BINS)]
-    found = rows.agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]).first()
-    return {f: sorted(set(found[f] or [])) for f in FEATURES}
+def cell(value: Column) -> Column:
+    """The greatest threshold of the grid that is not above a value; 0 below the least one.
 
+    Dividing by a power of two is exact, so a row is in a cell or above exactly if its value is at least the threshold.
+    """
+    near = F.floor(F.log2(value))
+    octave = F.when(F.pow(2.0, near) > value, near - 1).when(F.pow(2.0, near + 1) <= value, near + 1).otherwise(near)
+    return F.when(value < 2.0**-40, 0.0).otherwise(bound(F.pow(2.0, octave) / CELLS, lambda step: F.floor(value / step) * step))
 
-def bin_counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int, tuple[float, float]]]:
-    """Of each feature and bin, the rows of low and of other quality: one aggregate over the rows."""
-    bins = [F.struct(F.lit(f).alias("feature"), sum((F.when(F.col(f) >= t, 1).otherwise(0) for t in cuts[f]), F.lit(0)).alias("bin")) for f in FEATURES if cuts[f]]
-    if not bins:
-        return {}
-    counts = rows.select("low", F.inline(F.array(*bins))).groupBy("feature", "bin").agg(F.sum("low").alias("low"), F.sum(1 - F.col("low")).alias("good"))
-    out: dict[str, dict[int, tuple[float, float]]] = {}
+
+def cell_counts(rows: DataFrame) -> dict[str, list[tuple[float, float, float]]]:
+    """Of each feature its cells in order, (threshold, rows of low, of other quality): one aggregate over the rows."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}_cell").alias("cell")) for f in FEATURES])
+    counts = rows.select("low", F.inline(cells)).groupBy("feature", "cell").agg(F.sum("low").alias("low"), F.sum(1 - F.col("low")).alias("good"))
+    out: dict[str, list[tuple[float, float, float]]] = {f: [] for f in FEATURES}
     for r in counts.collect():
-        out.setdefault(r.feature, {})[r.bin] = (r.low, r.good)
-    return out
+        out[r.feature].append((r.cell, r.low, r.good))
+    return {f: sorted(cells) for f, cells in out.items()}
 
 
 def gain(low: float, good: float, was_low: float, was_good: float) -> float:
@@ -138,19 +147,19 @@ def gain(low: float, good: float, was_low: float, was_good: float) -> float:
     return low * (math.log2((low + 1) / (low + good + 2)) - math.log2((was_low + 1) / (was_low + was_good + 2)))
 
 
-def best_condition(counts: dict[str, dict[int, tuple[float, float]]], cuts: dict[str, list[float]], least: float) -> Condition | None:
+def best_condition(counts: dict[str, list[tuple[float, float, float]]], least: float) -> Condition | None:
+    """The condition of the greatest gain; of equal ones the first by feature and threshold."""
     best, found = 1e-9, None
     for feature in FEATURES:
-        bins = counts.get(feature, {})
-        low, good = (sum(b[i] for b in bins.values()) for i in (0, 1))
-        below_low = below_good = 0.0
-        for i, cut in enumerate(cuts[feature]):
-            here = bins.get(i, (0, 0))
-            below_low, below_good = below_low + here[0], below_good + here[1]
+        cells = counts[feature]
+        low, good = sum(c[1] for c in cells), sum(c[2] for c in cells)
+        below_low = below_good = 0
+        for before, here in itertools.pairwise(cells):
+            below_low, below_good = below_low + before[1], below_good + before[2]
             for above, a, b in ((False, below_low, below_good), (True, low - below_low, good - below_good)):
                 value = gain(a, b, low, good) if a >= least else 0.0
                 if value > best:
-                    best, found = value, Condition(feature, above, cut)
+                    best, found = value, Condition(feature, above, here[0])
     return found
 
 
@@ -163,32 +172,32 @@ def precision_by_length(rows: DataFrame, rule: Rule) -> list[tuple[float, float]
 
 
 def learn(rows: DataFrame) -> list[Rule]:
-    """Ordered rules that reject, from rows with the features and ``low`` (1: low quality)."""
-    rows = stage(rows.select(*FEATURES, "low", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")), "labelled")
+    """Ordered rules that reject, from rows with the features and ``low`` (1: low quality).
+
+    Every condition leaves growing rows out and every rule takes some of low quality, so both loops end by themselves.
+    """
+    cells = [cell(F.col(f)).alias(f"{f}_cell") for f in FEATURES]
+    rows = stage(rows.select(*FEATURES, *cells, "low", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")), "labelled")
     low, n = rows.agg(F.sum("low"), F.count("*")).first()
     if not low or low == n:
         return []
-    cuts, rules, least = thresholds(rows), [], max(3.0, LEAST_COVERED * low)
-    left = rows
-    for _ in range(MOST_RULES):
+    rules, left = [], rows
+    while True:
         grown: tuple[Condition, ...] = ()
         growing = left.where(~F.col("prune"))
-        while len(grown) < MOST_CONDITIONS:
-            condition = best_condition(bin_counts(growing, cuts), cuts, least * 2 / 3)
-            if condition is None or condition in grown:
-                break
+        while (condition := best_condition(cell_counts(growing), LEAST_COVERED)) is not None:
             grown += (condition,)
             growing = growing.where(condition.column())
         if not grown:
-            break
+            return rules
         # Keep the shortest beginning with the best smoothed margin on the rows held back.
-        worth = [(a - b) / (a + b + 1) for a, b in precision_by_length(left.where("prune"), Rule(grown))]
-        rule = Rule(grown[: worth.index(max(worth)) + 1])
-        if max(worth) <= 0:
-            break
-        rules.append(rule)
-        left = left.where(~rule.column())
-    return rules
+        held = precision_by_length(left.where("prune"), Rule(grown))
+        worth = [(a - b) / (a + b + 1) for a, b in held]
+        best = worth.index(max(worth))
+        if held[best][0] - held[best][1] < LEAST_MARGIN:
+            return rules
+        rules.append(Rule(grown[: best + 1]))
+        left = left.where(~rules[-1].column())
 
 
 def verdict(rules: list[Rule]) -> Column:

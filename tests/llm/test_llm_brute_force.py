@@ -11,10 +11,11 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerlight.llm import jaccard_join, pu_toxicity, queries, skip_crf, suffix_decontam, token_store, tokens, wordbytes
+from ledgerlight.llm import decision_list, jaccard_join, pu_toxicity, queries, skip_crf, suffix_decontam, token_store, tokens, wordbytes
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BARE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -201,6 +202,60 @@ def test_quality_counts_and_verdicts(spark, small, docs):
         assert got.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (got.base_failed and got.kept)
 
 
+def test_grid_cells_agree_with_comparisons(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, 1.0, 8.0, np.nextafter(8, 0), 0.5, 1e-13, 1e6, *np.exp(rng.uniform(-12, 14, 400)).tolist(), *rng.integers(1, 5000, 200).astype(float).tolist()]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", decision_list.cell(F.col("v")).alias("cell")).collect()
+    for r in rows:
+        assert r.cell <= r.v and (r.v < 1e-12 or (r.v - r.cell) / r.v <= 1 / decision_list.CELLS)
+    for threshold in {r.cell for r in rows}:
+        assert all((r.v >= threshold) == (r.cell >= threshold) for r in rows)
+
+
+def labelled_rows(n):
+    """Of ``n`` rows, 0.4 % of low quality in the tail of one feature, and 2 % between two thresholds of another."""
+    rng = np.random.default_rng(5)
+    out = []
+    for i in range(n):
+        f = dict(n_words=float(rng.integers(50, 900)), mean_word=rng.normal(5, 0.5), symbol_share=rng.beta(1, 60), dup_line_share=0.0, repeat_share=rng.beta(2, 40))
+        low = i % 250 == 0 or i % 50 == 1
+        if i % 250 == 0:
+            f["symbol_share"] = rng.uniform(0.5, 0.9)
+        elif low:
+            f["n_words"] = float(rng.integers(1000, 1100))
+        elif i % 50 == 2:
+            f["n_words"] = float(rng.integers(1200, 1400))
+        out.append((i, *[float(f[x]) for x in decision_list.FEATURES], int(low)))
+    return out
+
+
+def test_decision_list_finds_rare_tails_and_bands_and_repeats_itself(spark):
+    rows = labelled_rows(12_000)
+    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{f} double" for f in decision_list.FEATURES) + ", low long")
+    rules = decision_list.learn(frame.coalesce(1))
+    assert decision_list.learn(frame.orderBy(F.desc("mean_word")).repartition(7)) == rules
+    wrong = frame.withColumn("rejected", decision_list.verdict(rules).isNotNull().cast("long")).where("rejected <> low").count()
+    assert wrong <= 6
+
+
+def test_first_condition_has_the_greatest_gain_of_all(spark):
+    rows = labelled_rows(2_000)
+    cells = {f: decision_list.cell(F.col(f)).alias(f"{f}_cell") for f in decision_list.FEATURES}
+    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{f} double" for f in decision_list.FEATURES) + ", low long")
+    frame = frame.select("*", *cells.values())
+    found = decision_list.best_condition(decision_list.cell_counts(frame), 5)
+    every, low, n = frame.collect(), sum(r[-1] for r in rows), len(rows)
+    best = 0.0
+    for f in decision_list.FEATURES:
+        for t in {r[f"{f}_cell"] for r in every}:
+            for above in (True, False):
+                taken = [r.low for r in every if (r[f] >= t) == above]
+                if sum(taken) >= 5:
+                    best = max(best, decision_list.gain(sum(taken), len(taken) - sum(taken), low, n - low))
+    taken = [r.low for r in every if (r[found.feature] >= found.threshold) == found.above]
+    assert decision_list.gain(sum(taken), len(taken) - sum(taken), low, n - low) == pytest.approx(best)
+
+
 def test_decision_list_learns(spark):
     rows = queries.QUERIES["op7_decision_list"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
