@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import parse_date
 from ..operators import (
-    attribution, autoencoder, decisions, evaluation, features, forecast, forest, gesd, kernel, normalize, reconstruct, reports,
-    rollup, scenario, segments, tuning, vote, zscore,
+    attribution, autoencoder, decisions, evaluation, features, forecast, forest, gesd, kernel, normalize, one_class, reconstruct,
+    reports, rollup, scenario, segments, tuning, vote, zscore,
 )
 from ..schemas import MALFORMED
 from ..session import stage, stage_path
@@ -581,6 +581,13 @@ def kernel_one_class(spark, sf_dir):
     return present(rows, SEGMENT_KEY, ["svm_score"], ["is_train", "is_anomaly"])
 
 
+@register
+def one_class_machine(spark, sf_dir):
+    """Nu hinge machines of all segments, solved together on their training rows."""
+    rows = one_class.one_class_machine(stage(frames.split_segments(spark, sf_dir), "segment-features"))
+    return present(rows, SEGMENT_KEY, ["svm_score"], ["is_train", "is_anomaly", "svm_flag"])
+
+
 @register
 def window_reconstruction_multi(spark, sf_dir):
     rows = reconstruct.window_reconstruction_multi(stage(frames.split_segments(spark, sf_dir, ema=False), "segment-features"))
