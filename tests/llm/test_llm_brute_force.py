@@ -284,7 +284,33 @@ def test_message_passing_is_exact_on_a_tree():
     joint = np.exp(node[0][:, None, None] + node[1][None, :, None] + node[2][None, None, :] + pair[0][:, :, None] + pair[1][None, :, :])
     joint /= joint.sum()
     found = skip_crf.beliefs(node, edges, pair)
-    assert np.allclose(found[0], joint.sum((1, 2)), atol=2e-2) and np.allclose(found[2], joint.sum((0, 1)), atol=2e-2)
+    assert np.allclose(found[0], joint.sum((1, 2)), atol=1e-3) and np.allclose(found[2], joint.sum((0, 1)), atol=1e-3)
+
+
+def test_evidence_reaches_far_along_a_chain():
+    n, pair = 60, np.stack([np.eye(skip_crf.N_LABELS) * 5.0] * 2)
+    node = np.zeros((n, skip_crf.N_LABELS))
+    node[0, 2] = 20.0
+    forward = [np.exp(node[0])]
+    for i in range(1, n):
+        forward.append(np.exp(pair[0]).T @ (forward[-1] / forward[-1].sum()) * np.exp(node[i]))
+    found = skip_crf.beliefs(node, np.array([[i, i + 1, 1] for i in range(n - 1)]), pair)
+    assert np.allclose(found[-1], forward[-1] / forward[-1].sum(), atol=5e-3) and found[-1].argmax() == 2
+
+
+def test_beliefs_do_not_depend_on_neighbours_in_the_slice():
+    rng = np.random.default_rng(7)
+    pair, graphs = rng.normal(size=(2, skip_crf.N_LABELS, skip_crf.N_LABELS)), []
+    for n in (1, 3, 40, 12):
+        edges = np.array([[i, i + 1, 0] for i in range(n - 1)] + [[i, i + 3, 1] for i in range(n - 3)], np.int64).reshape(-1, 3)
+        graphs.append((rng.normal(size=(n, skip_crf.N_LABELS)), edges))
+    first = np.cumsum([0, *(len(g[0]) for g in graphs)])
+    together = skip_crf.beliefs(
+        np.concatenate([g[0] for g in graphs]), np.concatenate([g[1] + [a, a, 0] for g, a in zip(graphs, first, strict=False)]), pair,
+        np.repeat([5, 6, 8, 9], [len(g[0]) for g in graphs]),
+    )
+    for (node, edges), a in zip(graphs, first, strict=False):
+        assert np.array_equal(together[a : a + len(node)], skip_crf.beliefs(node, edges, pair))
 
 
 def test_toxicity_is_accurate_on_held_out_labels(spark):
