@@ -46,6 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
+from ledgerlight.llm.memory import lean, lean_group
 from ledgerlight.session import stage
 
 WIDTH = 5
@@ -101,6 +102,7 @@ def unseen(rows: Rows, seen: set[int]) -> np.ndarray:
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """kind 0: (doc_id, key, text_hash, n, class) of each document; kind 1: (n, class) as count and shingle of what repeats within a task."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         window: list[np.ndarray] = []
@@ -136,6 +138,7 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
     """The first entries of each class's row, packed by column block; below 0 are blocks of common columns only."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(sent.value)
         table = sent.value[order]
@@ -189,6 +192,7 @@ def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: i
 def shared_entries(tiled: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, class, n, place): the entries of columns that two or more classes of compatible sizes share."""
 
+    @lean_group
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         shingle, cls, n, place = [], [], [], []
         for row in table.select(["shingles", "index", "classes", "sizes", "places"]).to_pylist():
@@ -218,6 +222,7 @@ def shared_entries(tiled: DataFrame, num: int, den: int) -> DataFrame:
 def class_rows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """(class, n, row): the packed sorted shingles of the documents named by ``keys``."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in wordbytes.parts(batch):
@@ -237,6 +242,7 @@ def row_key():
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, overlap) of each pair of classes (a, b)."""
 
+    @lean
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

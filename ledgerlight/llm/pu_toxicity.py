@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
+from ledgerlight.llm.memory import lean
 
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 8_000
@@ -86,6 +87,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
 def sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, positive of each row) of the sampled documents, on the driver."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, z, data, offsets in wordbytes.parts(batch):
@@ -192,6 +194,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     used, weights, bias = model(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((used, weights))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = dense(*sent.value)
         for batch in batches:
@@ -206,6 +209,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     used, weights, bias = model(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((used, weights))
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = dense(*sent.value)
         for batch in batches:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
+from ledgerlight.llm.memory import lean
 
 SHARD_WORDS = 500_000
 BLOCK_BYTES = 32 << 20
@@ -235,6 +236,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     """One row per document: doc_id, n_words, n_hit, items (names of those with an occurring window, sorted)."""
     sent = send(docs, item_blocks(bench))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [b.value for b in sent]
         for batch in batches:
@@ -250,6 +252,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     """The documents without any hit, as they came."""
     sent = send(docs, item_blocks(bench))
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [b.value for b in sent]
         for batch in batches:
@@ -266,6 +269,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) ->
     """
     sent = send(docs, item_blocks(bench))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [b.value for b in sent]
         for batch in batches:

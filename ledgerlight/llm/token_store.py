@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.memory import lean, lean_cogroup
 from ledgerlight.llm.tokens import encoder, slices, text_bytes
 
 SHARD_TOKENS = 4_000_000
@@ -100,6 +101,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
@@ -263,6 +265,7 @@ def stored_documents(docs: DataFrame, path: str) -> DataFrame:
         F.lag("last_key").over(before).alias("key_before"),
     )
 
+    @lean_cogroup
     def read(_: tuple, found: pa.Table, shard: pa.Table) -> pa.Table:
         ids = memoryview(shard_ids(shard)).cast("B")
         row = shard.drop_columns(["ids"]).to_pylist()[0]

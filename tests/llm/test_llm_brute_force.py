@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerlight.llm import decision_list, jaccard_join, pu_toxicity, queries, skip_crf, suffix_decontam, token_store, tokens, wordbytes
+from ledgerlight.llm import decision_list, jaccard_join, memory, pu_toxicity, queries, skip_crf, suffix_decontam, token_store, tokens, wordbytes
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BARE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -92,6 +93,20 @@ def test_encoder_on_odd_words(text):
     test_encoder_gives_the_ids_of_the_library.hypothesis.inner_test(text)
 
 
+def test_workers_give_memory_back_at_the_end_of_a_task():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    @memory.lean
+    def scan(batches):
+        rows = [bytes(3000) for _ in range(100_000)]
+        stays.extend(rows[::1000])
+        yield len(rows)
+
+    stays, before = [], held()
+    assert list(scan(iter([]))) == [100_000]
+    assert held() < before + 60
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
