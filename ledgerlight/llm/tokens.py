@@ -2,9 +2,11 @@
 
 ``Encoder`` gives exactly the ids of ``Tokenizer.encode(text,
 add_special_tokens=False)``. Where the tokenizer drops white space and never
-joins characters across it, a text is the concatenation of its words, so each
-distinct word is encoded once and remembered, by way of its pieces; a memory is
-emptied when it is full (``MOST_WORDS``, ``MOST_PIECES``). Any other tokenizer encodes each text as a whole.
+joins characters across it, a text is the concatenation of its words. The
+distinct words of a call are found and put back by Arrow; those of letters,
+with marks behind or not, are looked up by their lower-cased letters, others by
+themselves. What is new is encoded once and remembered; a memory is emptied
+when it is full (``MOST_WORDS``, ``MOST_PIECES``). Any other tokenizer encodes each text as a whole.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ SEPARABLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 # Words of printable ASCII and Latin letters: they are composed already, and lower-case one by one.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = b".,:;!?"
-MOST_WORDS = 300_000
-MOST_PIECES = 200_000
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+MARKS = ".,:;!?"
+MOST_WORDS = 100_000
+MOST_PIECES = 400_000
 
 
 class Encoder:
@@ -37,7 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separable = separable(path) and not any(len(s.split()) != 1 for s in self.special)
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.as_bytes = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -47,13 +49,32 @@ class Encoder:
         """The ids of each text as little-endian integers of ``dtype``; null is empty."""
         if not self.separable:
             return self._whole([(t or b"").decode() for t in texts])
-        out, known = [], self.words.__getitem__
-        for text in texts:
-            for memory, most in ((self.words, MOST_WORDS), (self.pieces, MOST_PIECES)):
-                if len(memory) > most:
-                    memory.clear()
-            out.append(b"".join(map(known, text.split())) if text else b"")
-        return out
+        for memory, most in ((self.words, MOST_WORDS), (self.pieces, MOST_PIECES)):
+            if len(memory) > most:
+                memory.clear()
+        split = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        _, ends, data = self._distinct(words.dictionary).take(words.indices).buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        ids = data.to_pybytes() if data is not None else b""
+        return [ids[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of each word."""
+        core = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(core, LETTERS + "$")
+        letters = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        marks = pc.replace_substring_regex(words.filter(plain), LETTERS, "").dictionary_encode()
+        found = [self._pieces(x.dictionary).take(x.indices) for x in (letters, marks)]
+        found = pc.binary_join_element_wise(*found, pa.scalar(b"", pa.large_binary()))
+        other = pa.array([self.words[w] for w in words.filter(pc.invert(plain)).to_pylist()], pa.large_binary())
+        place = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        order = np.empty(len(words), np.int64)
+        order[place] = np.arange(len(words))
+        return pa.concat_arrays([found, other]).take(pa.array(order))
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        return pa.array([self.pieces[p] for p in pieces.to_pylist()], pa.large_binary())
 
     def forget(self) -> None:
         """Give the memory back; a task does so at its end, since its worker lives on."""
@@ -63,16 +84,10 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: bytes) -> bytes:
-        core = word.rstrip(MARKS)
-        text = core.decode()
-        if LETTERS.fullmatch(text):
-            ids = self.pieces[text.lower()]
-            return ids if len(core) == len(word) else ids + self.pieces[word[len(core) :].decode()]
-        text = word.decode()
-        if PLAIN.fullmatch(text) and not any(s in word for s in self.special):
-            return b"".join([self.pieces[p] for p in PLAIN_PIECE.findall(text.lower())])
-        return self._whole([text])[0]
+    def _word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            return b"".join([self.pieces[p] for p in PLAIN_PIECE.findall(word.lower())])
+        return self._whole([word])[0]
 
     def _piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))

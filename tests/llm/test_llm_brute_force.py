@@ -93,6 +93,16 @@ def test_encoder_on_odd_words(text):
     test_encoder_gives_the_ids_of_the_library.hypothesis.inner_test(text)
 
 
+def test_words_of_letters_are_looked_up_by_their_letters_alone():
+    coder = tokens.Encoder(queries.TOKENIZER)
+    texts = [" Word\tword, WORD...\x0b\x0cÉté été!? ", "", None, "x" + "".join(map(chr, range(1, 128))) + "...;", "?! b$$$ b$$$."]
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode([t if t is None else t.encode() for t in texts])] == want
+    coder.forget()
+    assert coder.encode([b"Word word, WORD..."]) == [b"".join(map(coder.pieces.__getitem__, ("word", "word", ",", "word", "...")))]
+    assert not coder.words
+
+
 def test_workers_give_memory_back_at_the_end_of_a_task():
     held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
 
