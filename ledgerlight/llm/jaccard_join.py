@@ -58,6 +58,7 @@ MOST_SEEN = 1_000_000
 BLOCK_ENTRIES = 1_000_000
 TILE_ENTRIES = 500_000  # entries that a task packs at once
 MASK = np.uint64((1 << 52) - 1)
+PAIR = ["a", "b", "component_a", "component_b"]
 U64 = np.uint64
 
 
@@ -240,7 +241,8 @@ def row_key():
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, overlap) of each pair of classes (a, b)."""
+    """The pairs of classes (a, b), with n_a, n_b and overlap."""
+    names = [*PAIR, "n_a", "n_b"]
 
     @lean
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,37 +254,34 @@ def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 where = np.minimum(np.searchsorted(right, left), max(len(right) - 1, 0))
                 both = left[right[where] == left] if len(right) else left[:0]
                 overlap = np.bincount((both >> U64(52)).astype(np.int64), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(overlap)], ["a", "b", "n_a", "n_b", "overlap"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(overlap)], [*names, "overlap"])
 
     def tagged(column: pa.Array) -> np.ndarray:
         rows = [np.frombuffer(x, U64) for x in column.to_pylist()]
         return np.concatenate([r | U64(i << 52) for i, r in enumerate(rows)])
 
     side = lambda s: rows.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("row").alias(f"row_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "row_a", "row_b").mapInArrow(multiply, "a long, b long, n_a long, n_b long, overlap long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "row_a", "row_b").mapInArrow(multiply, ", ".join(f"{c} long" for c in [*names, "overlap"]))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for the nodes of ``links`` (a, b).
+    """(node, component): the least node reachable, for the nodes of ``links`` (a, b) that reach a lesser one.
 
     Alternating stars: each node's neighbours are hung on the least of them,
-    first the greater ones, then the smaller, until nothing changes.
+    first the greater ones, then the smaller, until nothing changes. A round
+    shuffles the edges twice, by the node whose neighbours meet; it may leave
+    an edge twice, but never more edges than it was given.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges, node = links.select(F.col("a").alias("u"), F.col("b").alias("v")), W.partitionBy("u")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
-        small = small.select("x", "m").unionByName(small.select(F.col("u").alias("x"), "m")).where("x <> m").distinct()
-        edges = stage(small.select(F.col("x").alias("u"), F.col("m").alias("v")), "stars")
-        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
-        roles = roles.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-        roles = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-        if roles.where("child > 1 OR (child > 0 AND parent > 0)").isEmpty():
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        large = both.withColumn("m", F.least("u", F.min("v").over(node))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.repartition("u").distinct().withColumn("m", F.min("v").over(node))
+        edges = stage(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "stars")
+        roles = edges.select(F.col("u").alias("x"), F.col("v").alias("parent")).unionByName(edges.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("parent")))
+        roles = roles.groupBy("x").agg(F.min("parent").alias("least"), F.max("parent").alias("most"), F.max(F.col("parent").isNull()).alias("is_parent"))
+        if not roles.agg(F.max(F.col("least").isNotNull() & (F.col("is_parent") | (F.col("least") < F.col("most"))))).first()[0]:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def common_shingles(profile: DataFrame) -> np.ndarray:
@@ -293,11 +292,16 @@ def common_shingles(profile: DataFrame) -> np.ndarray:
 
 
 def linked(products: DataFrame, num: int, den: int) -> DataFrame:
-    return products.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
+    """(a, b): the components that the pairs with enough overlap link."""
+    return products.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
 
 
 def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """(class, component) of the classes that have a link; None if there is nothing to multiply."""
+    """(class, component) of the classes that are linked with a lesser one; None if there are none.
+
+    A turn's links are contracted by themselves, as links between the
+    components of the turn before, so that later turns handle few of them.
+    """
     spark = docs.sparkSession
     classes = profile.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), F.min("key").alias("key"))
     classes = stage(classes, "classes")
@@ -307,7 +311,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
     q = stage(shared_entries(tiles(docs, common_shingles(profile), n_blocks, width, num, den), num, den), "entries")
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    links = whole = rows = None
+    rows, turns = None, []
     before, turn = float("inf"), 0
     open_ = q.withColumn("component", F.col("class"))
     while True:
@@ -330,13 +334,20 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
         new = stage(linked(overlaps(pairs, rows), num, den), "links")
         before, turn = across, turn + 1
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            whole = stage(components(links), "components")
-            open_ = open_.select("shingle", "class", "n", "place").join(whole.select(F.col("node").alias("class"), "component"), "class", "left")
-            open_ = open_.withColumn("component", F.coalesce("component", "class"))
+            turns.append(stage(components(new), "components"))
+            if not last:
+                open_ = open_.select("shingle", "class", "n", "place", F.col("component").alias("node")).join(turns[-1], "node", "left")
+                open_ = open_.withColumn("component", F.coalesce("component", "node"))
         if last:
             break
-    return None if links is None else whole.select(F.col("node").alias("class"), "component")
+    whole = None
+    for found in reversed(turns):
+        # A node is hung up once: what it hangs on may go on in later turns, it does not.
+        if whole is not None:
+            on = found.join(whole.select(F.col("node").alias("component"), F.col("component").alias("onward")), "component", "left")
+            found = on.select("node", F.coalesce("onward", "component").alias("component")).unionByName(whole)
+        whole = found
+    return None if whole is None else whole.select(F.col("node").alias("class"), "component")
 
 
 def open_columns(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -364,7 +375,7 @@ def with_pivots(entries: DataFrame, fits, num: int, den: int) -> DataFrame:
     n, of = F.col("n"), F.col("pivot.n")
     left = F.least(n - F.col("place"), of - F.col("pivot.place"))
     both = entries.where((F.col("component") != F.col("pivot.component")) & fits(n, of) & (left >= least_common(n, of, num, den)))
-    return both.select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct()
+    return both.select(F.col("class").alias("a"), F.col("pivot.class").alias("b"), F.col("component").alias("component_a"), F.col("pivot.component").alias("component_b")).distinct()
 
 
 def early(num: int, den: int):
@@ -384,7 +395,7 @@ def across_components(entries: DataFrame, fits, num: int, den: int) -> DataFrame
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     both = both.where(smaller & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & (left >= least_common(F.col("n_a"), F.col("n_b"), num, den)))
-    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "component_a", "component_b").distinct()
 
 
 def least_common(n_a, n_b, num: int, den: int):

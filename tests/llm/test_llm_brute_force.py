@@ -390,3 +390,33 @@ def test_pipeline(spark, small, docs):
     assert abs(words([r.asDict() for r in after]) - 1.5 * words(before)) <= 25
     before, after = kept["token_ids"]
     assert len(after) == len(before) and sum(r.n_tokens for r in after) == sum(n for _, _, n, _ in stored(before))
+
+
+def test_components_in_few_shuffles(spark):
+    """Trees, rings, hubs and repeated links hang on their least nodes; a hub's first round shuffles its links no more than a few times."""
+    rng = np.random.default_rng(11)
+    links = [(i, i + 1) for i in range(40)] + [(200 - i, 201 - i) for i in range(30)] + [(307, 300 + i) for i in range(40) if i != 7]
+    links += [(int(a), int(b)) for a, b in rng.integers(400, 520, (90, 2)) if a != b] + [(-5, -9), (-9, -5), (-5, -9)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.component for r in jaccard_join.components(frame).collect()}
+    assert {x: found.get(x, x) for x in parent} == {x: find(x) for x in parent}
+    hub = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("hub", "stages of one round")
+    try:
+        assert {r.component for r in jaccard_join.components(hub).collect()} == {0}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    ran = {s for j in tracker.getJobIdsForGroup("hub") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s) and tracker.getStageInfo(s).numCompletedTasks}
+    assert len(ran) <= 8, len(ran)
