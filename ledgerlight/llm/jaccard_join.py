@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +57,7 @@ PRODUCTS_PER_ENTRY = 8
 MOST_SEEN = 1_000_000
 BLOCK_ENTRIES = 1_000_000
 TILE_ENTRIES = 500_000  # entries that a task packs at once
+SIEVE = 1 << 26  # bits of the table that tells which rows may be asked for: 2^20 words at most
 MASK = np.uint64((1 << 52) - 1)
 PAIR = ["a", "b", "component_a", "component_b"]
 U64 = np.uint64
@@ -220,8 +221,24 @@ def shared_entries(tiled: DataFrame, num: int, den: int) -> DataFrame:
     return tiled.groupBy("block").applyInArrow(merge, "shingle long, class long, n long, place int")
 
 
-def class_rows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(class, n, row): the packed sorted shingles of the documents named by ``keys``."""
+def sieved(rows: DataFrame, by: Column, hashes: DataFrame) -> DataFrame:
+    """``rows`` and ``perhaps``: false where the hash ``by`` is surely not in the one column of ``hashes``.
+
+    Texts so need no shuffle to meet a long list of a few of them. The bitmap
+    that is broadcast is bounded: a list that fills it lets other rows pass,
+    which an exact join has to take out, so the work depends on it only.
+    """
+    word = lambda h: F.shiftright(F.pmod(h, F.lit(SIEVE)), 6)
+    bit = lambda h: F.pmod(h, F.lit(64)).cast("int")
+    h = F.col(hashes.columns[0])
+    bits = hashes.select(word(h).alias("sieve_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(h)).alias("bit"))
+    bits = bits.groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits"))
+    met = rows.join(F.broadcast(bits), word(by) == F.col("sieve_word"), "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit("sieve_bits", bit(by)) == 1, F.lit(False)).alias("perhaps"))
+
+
+def class_rows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(class, n, row): the packed sorted shingles of the classes in ``asked`` (class, key of one of its documents)."""
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +249,9 @@ def class_rows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
                 packed = [rows.shingle[b : b + n].tobytes() for b, n in zip(rows.begins[some].tolist(), rows.counts[some].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows.classes[some].view(np.int64)), pa.array(rows.counts[some]), pa.array(packed, pa.binary())], ["class", "n", "row"])
 
-    wanted = docs.select(row_key().alias("key"), "text").join(keys, "key", "left_semi")
-    return wanted.select("text").mapInArrow(scan, "class long, n long, row binary").dropDuplicates(["class"])
+    wanted = sieved(docs.select(row_key().alias("key"), "text"), F.xxhash64("key"), asked.select(F.xxhash64("key"))).where("perhaps")
+    rows = wanted.select("text").mapInArrow(scan, "class long, n long, row binary")
+    return rows.join(asked.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def row_key():
@@ -329,7 +347,8 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
         asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if rows is not None:
             asked = asked.join(rows.select("class"), "class", "left_anti")
-        more = stage(class_rows(docs, asked.join(classes, "class").select("key"), width), "class-rows")
+        asked = stage(asked.join(classes, "class").select("class", "key"), "asked")
+        more = stage(class_rows(docs, asked, width), "class-rows")
         rows = more if rows is None else rows.unionByName(more)
         new = stage(linked(overlaps(pairs, rows), num, den), "links")
         before, turn = across, turn + 1
@@ -437,7 +456,10 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int =
     dropped = stage(rows.where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct(), "dropped")
     whole = docs.select(F.struct("*").alias("doc"))
     doc_id, text_hash = F.col("doc.doc_id").cast("long"), F.xxhash64("doc.text")
-    kept = whole.join(dropped, doc_id.eqNullSafe(F.col("dropped_id")) & (text_hash == F.col("dropped_hash")), "left_anti")
+    # Texts stay where they are, but those that seem to be among the dropped.
+    whole = sieved(whole, F.xxhash64(doc_id, text_hash), dropped.select(F.xxhash64("dropped_id", "dropped_hash")))
+    unsure = whole.where("perhaps").join(dropped, doc_id.eqNullSafe(F.col("dropped_id")) & (text_hash == F.col("dropped_hash")), "left_anti")
+    kept = whole.where("NOT perhaps").unionByName(unsure)
     if not rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         same = W.partitionBy(doc_id, text_hash).orderBy(F.xxhash64(F.to_json("doc")))
         kept = kept.withColumn("place", F.row_number().over(same)).where("place = 1")

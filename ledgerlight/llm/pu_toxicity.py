@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import wordbytes
-from ledgerlight.llm.memory import lean
+from ledgerlight.llm.memory import give_back, lean
 
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 8_000
@@ -84,8 +84,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return rows.groupBy("doc_id", "positive").agg(one).select("text", "positive"), float(prior)
 
 
-def sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, positive of each row) of the sampled documents, on the driver."""
+def sample_features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """(features of each row, positive of each row) of the sampled documents, on the driver."""
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +100,7 @@ def sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     # An order of its own: rows arrive in any.
     packed, positive = table.column("features").to_pylist(), table.column("positive").to_pylist()
     order = sorted(range(len(packed)), key=lambda i: (positive[i], packed[i]))
-    found = [np.frombuffer(packed[i], "<u4").astype(np.int64) for i in order]
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    return row, np.concatenate(found) if found else np.zeros(0, np.int64), np.array([positive[i] for i in order], bool)
+    return [np.frombuffer(packed[i], "<u4") for i in order], np.array([positive[i] for i in order], bool)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,20 +120,25 @@ class Matrix:
         return np.bincount(self.column, values[self.row], self.n_columns)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(found: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of the averaged classifiers."""
     n_positive, n_unlabelled = int(positive.sum()), int((~positive).sum())
     if not n_positive or not n_unlabelled or not prior:
         return np.zeros(0, np.int64), np.zeros(0), -30.0
-    among = lambda rows: np.bincount(feature[rows[row]], minlength=1 << BITS)
-    times, anywhere = among(positive), among(~positive)
+    # Row by row, as a row's features are distinct: all entries at once would take a few hundred MB of the driver.
+    times, anywhere = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for feature, toxic in zip(found, positive.tolist(), strict=True):
+        (times if toxic else anywhere)[feature] += 1
+    used = np.flatnonzero(times >= LEAST_DOCUMENTS)
     # Of the unlabelled documents with the feature, the share that the prior says is toxic.
-    share = prior * (times / n_positive) / ((anywhere + 1) / n_unlabelled)
-    used = np.flatnonzero((times >= LEAST_DOCUMENTS) & (share >= LEAST_SHARE))
-    place = np.full(1 << BITS, -1, np.int64)
+    share = prior * (times[used] / n_positive) / ((anywhere[used] + 1) / n_unlabelled)
+    used = used[share >= LEAST_SHARE]
+    del times, anywhere
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[feature] >= 0
-    x = Matrix(row[keep], place[feature[keep]], len(positive), len(used))
+    columns = [at[at >= 0] for at in (place[feature] for feature in found)]
+    row = np.repeat(np.arange(len(found)), [len(c) for c in columns])
+    x = Matrix(row, np.concatenate(columns).astype(np.int64), len(positive), len(used))
     weights, bias = np.zeros(len(used)), 0.0
     for seed in range(CLASSIFIERS):
         w, b = train(x, positive, prior, seed)
@@ -172,7 +175,10 @@ def train(x: Matrix, positive: np.ndarray, prior: float, seed: int) -> tuple[np.
 
 def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     rows, prior = sample(docs, labels)
-    return fit(*sample_features(rows), prior)
+    try:
+        return fit(*sample_features(rows), prior)
+    finally:
+        give_back()
 
 
 def scores_of(batch: pa.RecordBatch, table: np.ndarray, bias: float) -> np.ndarray:

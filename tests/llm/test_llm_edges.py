@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -249,3 +250,37 @@ def test_one_of_each_keeps_every_column(spark):
     kept = [sorted(map(tuple, jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).collect())) for rows in (copies, copies[::-1])]
     assert kept[0] == kept[1] and len(kept[0]) == 2
     assert set(kept[0]) < set(copies) and copies[3] in kept[0]
+
+
+def test_texts_meet_long_lists_without_a_shuffle(spark, monkeypatch):
+    """Only texts that seem to be on a list are sent to meet it; a bitmap that is full lets all pass and loses none."""
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(300)]
+    docs = spark.createDataFrame([(i, lines[i % 290]) for i in range(300)] + [(None, "lone words")], "doc_id long, text string")
+    listed = spark.range(20).select(F.xxhash64("id").alias("h"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (1 << 26, 64):
+            monkeypatch.setattr(jaccard_join, "SIEVE", bits, raising=False)
+            asked = jaccard_join.join(docs).where("doc_id < 5").select("class", F.col("doc_id").alias("key"))
+            rows = jaccard_join.class_rows(docs, asked, 5)
+            below = rows._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2].partition("class#")[2]
+            assert "hashpartitioning(key#" not in below
+            assert sorted(r["class"] for r in rows.collect()) == sorted(r["class"] for r in asked.collect())
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in jaccard_join.one_of_each(docs).collect()) == [-1, *range(290)]
+            passed = [r.doc_id for r in jaccard_join.sieved(docs, F.xxhash64("doc_id"), listed).where("perhaps").collect()]
+            assert {*range(20)} <= {*passed} and (len(passed) == 20 if bits > 64 else len(passed) <= 301)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_toxicity_fit_leaves_the_driver_room(spark, small):
+    """The fit holds a few counts a feature, not several wide arrays at once."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        used, weights, bias = pu_toxicity.model(docs, labels)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    assert len(used) == len(weights) and bias > -30
