@@ -21,6 +21,9 @@ whole:
   there, by what is left of either row. Products beyond the bound are not
   formed: a passage that many rows share stands late in all rows that are not
   made of it, and makes no pairs there.
+* Before rows are moved to meet each other, sketches of 2 to 4 bits an entry
+  do. A bit of one row that the other lacks stands for an entry it lacks, so
+  pairs whose sketches leave too little in common surely do not link.
 
 Which columns are common is found per task over all documents; the table of
 them is bounded (``COMMON``) and affects the order, and so the work, only.
@@ -57,6 +60,7 @@ PRODUCTS_PER_ENTRY = 8
 MOST_SEEN = 1_000_000
 BLOCK_ENTRIES = 1_000_000
 TILE_ENTRIES = 500_000  # entries that a task packs at once
+SKETCH_BITS = 2  # of a row's sketch for each entry, up to the next power of two
 SIEVE = 1 << 26  # bits of the table that tells which rows may be asked for: 2^20 words at most
 MASK = np.uint64((1 << 52) - 1)
 PAIR = ["a", "b", "component_a", "component_b"]
@@ -101,8 +105,37 @@ def unseen(rows: Rows, seen: set[int]) -> np.ndarray:
     return new
 
 
+def sketches(rows: Rows, which: np.ndarray) -> list[bytes | None]:
+    """Bitmaps of the rows in ``which``, None for others: bit ``shingle`` modulo the length, a power of two bytes."""
+    size = np.maximum(SKETCH_BITS * rows.counts, 8).astype(np.float64)
+    size = np.where(which, 1 << np.ceil(np.log2(size)).astype(np.int64), 0)
+    end = np.cumsum(size)
+    keep = which[rows.row]
+    row = rows.row[keep]
+    bits = np.zeros(int(end[-1]) if len(end) else 0, bool)
+    bits[(end - size)[row] + (rows.shingle[keep] & (size[row] - 1).astype(U64)).astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[z - n : z] if n else None for z, n in zip((end // 8).tolist(), (size // 8).tolist(), strict=True)]
+
+
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """What rows of these sketches and sizes share at most."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    return min(n_a - (x & ~y).bit_count(), n_b - (y & ~x).bit_count())
+
+
+def folded(sketch: bytes, size: int) -> int:
+    """The sketch as it were with ``size`` bytes: bits that agree modulo the lesser length fall together."""
+    bits, n = int.from_bytes(sketch, "little"), 8 * len(sketch)
+    while n > 8 * size:
+        n //= 2
+        bits = bits >> n | bits & (1 << n) - 1
+    return bits
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, key, text_hash, n, class) of each document; kind 1: (n, class) as count and shingle of what repeats within a task."""
+    """kind 0: (doc_id, key, text_hash, n, class) of each document, with the sketch where its class is first seen; kind 1: (n, class) as count and shingle of what repeats within a task."""
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +146,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             for a, z, data, offsets in wordbytes.parts(batch):
                 rows = Rows(data, offsets, width)
                 cls = pa.array(rows.classes.view(np.int64), mask=rows.counts == 0)
-                yield out(np.zeros(z - a, np.int8), batch.column("doc_id").slice(a, z - a), batch.column("key").slice(a, z - a), batch.column("text_hash").slice(a, z - a), rows.counts, cls)
                 new = unseen(rows, seen)
+                yield out(np.zeros(z - a, np.int8), *(batch.column(c).slice(a, z - a) for c in ("doc_id", "key", "text_hash")), rows.counts, cls, pa.array(sketches(rows, new), pa.binary()))
                 window.append(rows.shingle[new[rows.row]])
                 held += len(window[-1])
                 if held >= COMMON_WINDOW:
@@ -127,13 +160,13 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         shingles, times = np.unique(np.concatenate(window), return_counts=True)
         shingles, times = shingles[times > 1], times[times > 1]
         nulls = pa.nulls(len(times), pa.int64())
-        return out(np.ones(len(times), np.int8), nulls, nulls, nulls, times, pa.array(shingles.view(np.int64)))
+        return out(np.ones(len(times), np.int8), nulls, nulls, nulls, times, pa.array(shingles.view(np.int64)), pa.nulls(len(times), pa.binary()))
 
-    def out(kind, doc_id, key, text_hash, n, cls) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind), doc_id, key, text_hash, pa.array(n.astype(np.int64)), cls], ["kind", "doc_id", "key", "text_hash", "n", "class"])
+    def out(kind, doc_id, key, text_hash, n, cls, sketch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind), doc_id, key, text_hash, pa.array(n.astype(np.int64)), cls, sketch], ["kind", "doc_id", "key", "text_hash", "n", "class", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(scan, "kind byte, doc_id long, key long, text_hash long, n long, class long")
+    return rows.mapInArrow(scan, "kind byte, doc_id long, key long, text_hash long, n long, class long, sketch binary")
 
 
 def tiles(docs: DataFrame, common: np.ndarray, n_blocks: int, width: int, num: int, den: int) -> DataFrame:
@@ -258,6 +291,21 @@ def row_key():
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
+def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes whose sketches leave enough in common for a link."""
+
+    @lean
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            sides = (batch.column(c).to_pylist() for c in ("sketch_a", "n_a", "sketch_b", "n_b"))
+            most = np.fromiter(map(most_common, *sides), np.int64, batch.num_rows)
+            yield batch.select(PAIR).filter(pa.array(most >= least_overlap(n_a + n_b, num, num + den)))
+
+    side = lambda s: classes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, ", ".join(f"{c} long" for c in PAIR))
+
+
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs of classes (a, b), with n_a, n_b and overlap."""
     names = [*PAIR, "n_a", "n_b"]
@@ -321,7 +369,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
     components of the turn before, so that later turns handle few of them.
     """
     spark = docs.sparkSession
-    classes = profile.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    classes = profile.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.max("sketch").alias("sketch"))
     classes = stage(classes, "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0]
     if not entries:
@@ -343,7 +391,7 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, num: int,
             pairs = across_components(open_, fits, num, den)
         else:
             pairs = with_pivots(open_, fits, num, den)
-        pairs = stage(pairs, "pairs")
+        pairs = stage(possible(pairs, classes, num, den), "pairs")
         asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if rows is not None:
             asked = asked.join(rows.select("class"), "class", "left_anti")

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -212,6 +213,48 @@ def test_jaccard_join_by_pivots_and_by_products(spark, monkeypatch):
         assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(frame).collect()) == want
 
 
+def test_jaccard_rows_meet_only_where_sketches_let_them(spark, monkeypatch):
+    """A passage in many texts makes pairs that do not link: their rows are not fetched; those of links are, whatever their sizes."""
+    passage = [f"p{k}" for k in range(24)]
+    texts = [{"doc_id": i, "text": " ".join(passage + [f"o{i}_{k}" for k in range(60)])} for i in range(40)]
+    texts += [{"doc_id": 100 + i, "text": texts[i]["text"] + "".join(f" more{i}_{k}" for k in range(4 * i))} for i in range(1, 9)]
+    sets = shingle_sets(texts)
+    want = components(sets)
+    near = {d for d in sets if any(d != e and 100 * len(sets[d] & sets[e]) >= 65 * len(sets[d] | sets[e]) for e in sets)}
+    assert sum(want[d] != d for d in sets) == 6 and len(near) == 16
+    asked, whole = [], jaccard_join.stage
+
+    def stage(df, name):
+        staged = whole(df, name)
+        if name == "asked":
+            asked.extend(r.key for r in staged.collect())
+        return staged
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    monkeypatch.setattr(jaccard_join, "COMMON", 0)
+    frame = spark.createDataFrame([(t["doc_id"], t["text"]) for t in texts], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(frame).collect()) == sorted(want.items())
+    assert {d for d in sets if want[d] != d} <= {*asked} <= near
+
+
+def test_jaccard_sketches_bound_every_overlap():
+    """No pair shares more than its sketches let it, through sketches of different lengths too; rows of nothing in common are told apart."""
+    rng = np.random.default_rng(17)
+    texts = [" ".join(f"w{k}" for k in range(a, a + n)) for a, n in zip(rng.integers(0, 300, 60), rng.integers(0, 500, 60), strict=True)]
+    texts += [" ".join(f"u{i}_{k}" for k in range(200)) for i in range(10)] + ["one", ""]
+    (_, _, data, offsets), = wordbytes.parts(pa.RecordBatch.from_pydict({"text": texts}))
+    rows = jaccard_join.Rows(data, offsets, 5)
+    sketch = jaccard_join.sketches(rows, rows.counts > 0)
+    assert [x is None for x in sketch] == [not n for n in rows.counts]
+    some = [(rows.shingle[rows.row == i], sketch[i], int(rows.counts[i])) for i in np.flatnonzero(rows.counts)]
+    for a, x, n in some:
+        assert jaccard_join.most_common(x, n, x, n) == n
+        for b, y, m in some:
+            assert len(np.intersect1d(a, b)) <= jaccard_join.most_common(x, n, y, m) <= min(n, m)
+    alone = [(x, n) for x, n in zip(sketch[60:70], rows.counts[60:70].tolist(), strict=True)]
+    assert all(7 * jaccard_join.most_common(x, n, y, m) < 3 * (n + m) for i, (x, n) in enumerate(alone) for y, m in alone[:i])
+
+
 def test_quality_counts_and_verdicts(spark, small, docs):
     rows = {r.doc_id: r for r in collected(spark, small, "op7_decision_list")}
     for r in docs:
