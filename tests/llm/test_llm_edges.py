@@ -5,6 +5,7 @@ import time
 import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -284,3 +285,23 @@ def test_toxicity_fit_leaves_the_driver_room(spark, small):
     finally:
         tracemalloc.stop()
     assert len(used) == len(weights) and bias > -30
+
+
+def test_stages_send_texts_in_small_batches(spark, small):
+    """Long texts reach a worker about 1 MB at a time, none is lost; the whole run leaves the session's bound as it was."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(conf)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 240, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("many words "), 9_000).alias("text"))
+    try:
+        sent = corpus_pipeline.alone(lambda spark, docs, _: docs.mapInArrow(sizes, "n long, bytes long"))(spark, texts, small).collect()
+        assert sum(r.n for r in sent) == 240 and max(r.bytes for r in sent) < 2e6
+        spark.conf.set(conf, "50m")
+        assert corpus_pipeline.run(spark, small).count()
+        assert spark.conf.get(conf) == "50m"
+    finally:
+        spark.conf.set(conf, own)
